@@ -40,7 +40,7 @@ def severity_cross_tab(df: DataFrame) -> DataFrame:
     """Category rows, one count column per tier."""
     return (
         df.groupBy("category").pivot("severity_level", TIER_ORDER)
-        .agg(F.count("*")).na.fill(0)
+        .agg(F.count(F.lit(1))).na.fill(0)
     )
 
 
@@ -112,15 +112,13 @@ def summary_document(scored: DataFrame) -> DataFrame:
     Every section is a small aggregate; only those are brought together.
     """
     def as_map(df, key, value):
-        return df.agg(
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias("m")
-        )
+        return df.agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("m"))
 
     nested = top_sub_issues(scored).groupBy("category").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("sub_issue", "complaints")))).alias("v")
+        F.map_from_entries(F.collect_list(F.struct("sub_issue", "complaints"))).alias("v")
     )
     by_tier = counts_by(scored, "category", "severity_level").groupBy("category").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity_level", "complaints")))).alias("v")
+        F.map_from_entries(F.collect_list(F.struct("severity_level", "complaints"))).alias("v")
     )
     cats, tiers = category_shares(scored), category_shares(scored, "severity_level")
     stats, risk = word_length_stats(scored), risk_stats(scored)

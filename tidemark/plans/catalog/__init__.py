@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["corpus", "rules"]
+MODULES = ["corpus", "rules", "retrieval"]
 
 
 def _load():

@@ -13,7 +13,7 @@ from tidemark.operators import portfolio
 from tidemark.plans import triage
 from tidemark.plans.catalog import sql
 from tidemark.policy import domain as domain_policy, routing as routing_policy
-from tidemark.policy.labels import CATEGORIES, CATEGORY_BY_PRODUCT
+from tidemark.policy.labels import CATEGORY_BY_PRODUCT
 from tidemark.session import scratch_path
 from tidemark.sources import complaints as corpus_source, intake
 
@@ -127,9 +127,6 @@ def known_label_semi_join(spark, sf):
         "doc_id", "product")
 
 
-_LEXICON_WORDS = [t for t in domain_policy.FINANCIAL_TERMS if " " not in t]
-
-
 @query(
     "j3_lexicon_term_counts",
     sql.with_(sql.CLEANED, f"p AS (SELECT doc_id, {sql.padded('cleaned')} AS pad FROM cleaned)",
@@ -494,16 +491,21 @@ def portfolio_summary(spark, sf):
 
 
 @query(
-    "f1_title_case",
-    sql.with_(sql.CLEANED)
-    + "SELECT doc_id, length(cleaned) AS n_chars, upper(cleaned[1:1]) = cleaned[1:1] AS starts_upper FROM cleaned",
-)
-def title_case(spark, sf):
-    c = X.with_clean_text(intake.complaints(spark, sf)).select(
-        "doc_id", "cleaned", X.python_title("cleaned").alias("title"))
+    "f1_f2_formatted_shares",
+    """WITH c AS (SELECT o_orderpriority AS p, count(*) AS k, sum(o_totalprice) AS v FROM orders GROUP BY ALL)
+    SELECT array_to_string(list_transform(regexp_extract_all(p, '[A-Za-z]+|[^A-Za-z]+'),
+             lambda x: upper(x[1:1]) || lower(x[2:])), '') AS title,
+           p[1:5] AS snippet, contains(lower(p), 'urgent') AS is_urgent,
+           printf('%.1f%%', k::DOUBLE / sum(k) OVER () * 100.0) AS share_text FROM c""",
+)
+def formatted_shares(spark, sf):
+    """Title case, snippet, substring test and percentage text per group."""
+    c = intake.table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("k"))
+    from pyspark.sql import Window
+
+    total = F.sum("k").over(Window.partitionBy(F.lit(1)))
     return c.select(
-        "doc_id", F.length("title").cast("bigint").alias("n_chars"),
-        (F.upper(F.substring("cleaned", 1, 1)) == F.substring("cleaned", 1, 1)).alias("starts_upper"))
-
-
-assert CATEGORIES
+        X.python_title("o_orderpriority").alias("title"),
+        F.substring("o_orderpriority", 1, 5).alias("snippet"),
+        F.contains(F.lower("o_orderpriority"), F.lit("urgent")).alias("is_urgent"),
+        X.percent(F.col("k") / total).alias("share_text"))
