@@ -14,3 +14,12 @@ def pin(df: DataFrame, *names: str) -> DataFrame:
     """
     rest = [c for c in df.columns if c not in names]
     return df.select(*rest, F.inline(F.array(F.struct(*names)))).select(*df.columns)
+
+
+def unnest(df: DataFrame, keep: list, array, name: str) -> DataFrame:
+    """One row per non-null array element.
+
+    A plain ``explode`` makes the optimizer add a filter on the array's size, for
+    which it computes the array a second time; the outer form does not.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())

@@ -14,7 +14,7 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, StopWor
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.functions.pinning import pin
+from tidemark.functions.pinning import pin, unnest
 from tidemark.functions.text import terms, with_bigrams
 
 
@@ -55,7 +55,8 @@ def term_statistics(df: DataFrame, terms_col: str = "_terms") -> DataFrame:
             F.struct(F.lit(0).alias("once"), F.col(terms_col).alias("terms")),
             F.struct(F.lit(1).alias("once"), F.array_distinct(terms_col).alias("terms")),
         ))
-    ).select("once", F.explode("terms").alias("term"))
+    )
+    both = unnest(both, ["once"], "terms", "term")
     return both.groupBy("term").agg(
         F.sum("once").alias("df"), F.sum(1 - F.col("once")).alias("cf")
     )
@@ -151,6 +152,8 @@ class TfidfModel:
 def postings(vectors: DataFrame, *keys: str, idx: str = "idx", weights: str = "weights",
              weight: str = "weight") -> DataFrame:
     """One row per term of each vector."""
+    # The outer form: the plain one would compute the vectors twice, to filter on their size.
     return vectors.select(
-        *keys, F.inline(F.arrays_zip(F.col(idx).alias("term_id"), F.col(weights).alias(weight)))
-    )
+        *keys,
+        F.inline_outer(F.arrays_zip(F.col(idx).alias("term_id"), F.col(weights).alias(weight))),
+    ).filter(F.col("term_id").isNotNull())

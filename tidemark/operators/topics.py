@@ -1,6 +1,197 @@
-"""Topic terms, summaries and helpers of the topic job."""
+"""Topic terms by class-based TF-IDF, topic summaries, and surges between periods."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window, functions as F
+
+from tidemark.functions.pinning import unnest
+from tidemark.functions.severity import with_severity
+from tidemark.functions.text import python_title, with_clean_text
+from tidemark.operators.quality import NOISE, dominant
+from tidemark.operators.sizing import broadcast_if_small
+from tidemark.operators.tfidf import Weighting, with_terms
+from tidemark.policy import stop_words
+
+TOP_TERMS = 8
+EXEMPLARS = 3
+MAX_TERMS = 5_000
+
+# Thresholds of the surge rule and its early-warning levels.
+GROWTH_THRESHOLD = 0.25
+MIN_RECENT_VOLUME = 10
+MIN_COHERENCE = 0.15
+SEVERITY_SAMPLE = 100
+BASELINE_FLOOR = 0.5
+URGENCY_ORDER = {"Critical": 0, "High": 1, "Moderate": 2, "Monitor": 3}
 
 
 def adaptive_min_df(n_rows: int) -> int:
     """Lower document-frequency bound that shrinks on small corpora."""
     return min(3, max(1, n_rows // 15))
+
+
+def class_terms(
+    df: DataFrame,
+    text: str,
+    label: str = "cluster_id",
+    n: int = TOP_TERMS,
+    stop: tuple = tuple(stop_words.ENGLISH),
+    max_terms: int = MAX_TERMS,
+) -> DataFrame:
+    """``<label>, term, score, rank``: the most distinctive terms of each cluster.
+
+    Term counts per cluster take the place of concatenated cluster texts, so a
+    cluster may be of any size; bigrams do not cross narratives.
+    """
+    weighting = Weighting(ngram_max=2, stop_words=tuple(stop))
+    termed = with_terms(df.filter(F.col(label) != NOISE).select(label, text), text, weighting)
+    counts = unnest(termed, [label], "_terms", "term").groupBy(label, "term").agg(
+        F.count("*").alias("n_tc"))
+    # A term's counts in all clusters form one row, so that cutting the vocabulary to
+    # max_terms needs no second look at the texts. What is left is max_terms rows.
+    by_term = counts.groupBy("term").agg(
+        F.sum("n_tc").alias("f_t"), F.collect_list(F.struct(label, "n_tc")).alias("_in"))
+    kept = by_term.orderBy(F.desc("f_t"), F.asc("term")).limit(max_terms)
+    kept = kept.select("term", "f_t", F.inline("_in"))
+    w, everywhere = Window.partitionBy(label), Window.partitionBy(F.lit(1))
+    scored = (
+        kept.withColumn("_rank", F.dense_rank().over(everywhere.orderBy(label)))
+        .withColumn("_mean", F.sum("n_tc").over(everywhere) / F.max("_rank").over(everywhere))
+        .withColumn("words", F.sum("n_tc").over(w))
+        .withColumn("score", F.round(
+            F.col("n_tc") / F.col("words") * F.ln(1.0 + F.col("_mean") / F.col("f_t")), 12))
+    )
+    order = w.orderBy(F.desc("score"), F.asc("term"))
+    return scored.withColumn("rank", F.row_number().over(order)).filter(
+        (F.col("rank") <= n) & (F.col("score") > 0)).select(label, "term", "score", "rank")
+
+
+def term_lists(terms: DataFrame, label: str = "cluster_id") -> DataFrame:
+    """The ranked terms of each cluster as one array."""
+    return terms.groupBy(label).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"])
+        .alias("top_terms"))
+
+
+def summaries(
+    df: DataFrame,
+    terms: DataFrame,
+    row_id: str = "doc_id",
+    text: str = "narrative",
+    category: str | None = "category",
+    label: str = "cluster_id",
+    n_exemplars: int = EXEMPLARS,
+) -> DataFrame:
+    """One row per topic: size, prevalence, terms, closest narratives, coherence, categories.
+
+    ``df`` carries ``similarity``, the cosine of each row to its centroid.
+    """
+    n_all = df.agg(F.count("*")).scalar()
+    real = df.filter(F.col(label) != NOISE)
+    base = real.groupBy(label).agg(
+        F.count("*").alias("size"), F.avg("similarity").alias("coherence"))
+    order = Window.partitionBy(label).orderBy(F.desc(F.round("similarity", 9)), F.asc(row_id))
+    nearest = (
+        real.select(label, row_id, text, "similarity")
+        .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n_exemplars)
+        .groupBy(label).agg(F.transform(
+            F.array_sort(F.collect_list(F.struct("rank", row_id, text))), lambda s: s[text])
+            .alias("representative_complaints"))
+    )
+    out = (
+        base.withColumn("prevalence_pct", F.bround(F.col("size") * 100.0 / n_all, 2))
+        .withColumn("coherence", F.bround("coherence", 4))
+        .join(term_lists(terms, label), label, "left")
+        .join(nearest, label, "left")
+    )
+    if category:
+        out = out.join(dominant(real, label, category), label, "left")
+    return out
+
+
+def surges(
+    assigned: DataFrame,
+    topics: DataFrame,
+    text: str = "narrative",
+    order: tuple = ("ts", "doc_id"),
+    growth_threshold: float = GROWTH_THRESHOLD,
+    min_recent_volume: int = MIN_RECENT_VOLUME,
+    min_coherence: float = MIN_COHERENCE,
+    severity_sample: int | None = SEVERITY_SAMPLE,
+    signals: dict | None = None,
+) -> DataFrame:
+    """Alerts for themes whose share of the recent period outgrew the baseline.
+
+    ``assigned`` has cluster_id, period (baseline or recent), the narrative and
+    the columns of ``order``; ``topics`` has cluster_id, coherence, top_terms,
+    dominant_category and representative_complaints. The mean severity is taken
+    over the first ``severity_sample`` recent narratives of a theme, as the rule
+    defines it; null takes all of them.
+    """
+    volumes = assigned.groupBy("cluster_id").agg(
+        F.sum(F.when(F.col("period") == "recent", 1).otherwise(0)).alias("recent"),
+        F.sum(F.when(F.col("period") == "baseline", 1).otherwise(0)).alias("baseline"))
+    per_theme = growth(topics, volumes).filter(
+        (F.col("recent_volume") >= min_recent_volume)
+        & (F.col("growth_rate") >= growth_threshold)
+        & (F.col("coherence") >= min_coherence))
+
+    recent = assigned.filter((F.col("period") == "recent") & (F.col("cluster_id") != NOISE))
+    recent = recent.join(broadcast_if_small(per_theme.select("cluster_id")), "cluster_id", "left_semi")
+    if severity_sample is not None:
+        first = Window.partitionBy("cluster_id").orderBy(*order)
+        recent = recent.withColumn("_rn", F.row_number().over(first)).filter(
+            F.col("_rn") <= severity_sample)
+    extra = {} if signals is None else {"signals": signals}
+    scored = with_severity(
+        with_clean_text(recent.select("cluster_id", text), text), details=False, **extra)
+    risk = scored.groupBy("cluster_id").agg(F.avg("risk_score").alias("avg_severity_score"))
+    return alert_rows(per_theme.join(risk, "cluster_id", "left"))
+
+
+def growth(topics: DataFrame, volumes: DataFrame) -> DataFrame:
+    """Joins recent and baseline volumes to every topic and relates them.
+
+    ``volumes`` has cluster_id, recent, baseline, including the noise label: the
+    sizes of both periods set the scale on which volumes are compared.
+    """
+    sizes = volumes.agg(F.sum("recent").alias("r"), F.sum("baseline").alias("b"))
+    scale = sizes.select(
+        F.greatest(F.coalesce("r", F.lit(0)), F.lit(1)).cast("double")
+        / F.greatest(F.coalesce("b", F.lit(0)), F.lit(1))).scalar()
+    out = topics.filter(F.col("cluster_id") != NOISE).join(volumes, "cluster_id", "left")
+    out = out.withColumn("recent_volume", F.coalesce("recent", F.lit(0)).cast("bigint"))
+    out = out.withColumn("baseline_volume", F.coalesce("baseline", F.lit(0)).cast("bigint"))
+    expected = F.greatest(F.col("baseline_volume") * scale, F.lit(BASELINE_FLOOR))
+    return out.withColumn("_b", expected).withColumn(
+        "growth_rate", (F.col("recent_volume") - F.col("_b")) / F.col("_b")
+    ).drop("_b", "recent", "baseline")
+
+
+def alert_rows(themes: DataFrame) -> DataFrame:
+    """Severity level, urgency, name and order of the alerts."""
+    sev = F.coalesce("avg_severity_score", F.lit(0.0))
+    pct = F.col("growth_rate") * 100.0
+    level = F.when(sev >= 0.60, "High").when(sev >= 0.30, "Medium").otherwise("Low")
+    fast = pct >= 50.0
+    urgency = (
+        F.when((F.col("severity_level") == "High") & fast, "Critical")
+        .when((F.col("severity_level") == "High") | fast, "High")
+        .when(pct >= 25.0, "Moderate").otherwise("Monitor")
+    )
+    rank = F.when(F.col("urgency") == "Critical", 0)
+    for name, i in list(URGENCY_ORDER.items())[1:]:
+        rank = rank.when(F.col("urgency") == name, i)
+    out = themes.withColumn("avg_severity_score", sev).withColumn("severity_level", level)
+    out = out.withColumn("urgency", urgency).withColumn("urgency_rank", rank.otherwise(4))
+    name = python_title(F.array_join(F.slice("top_terms", 1, 3), " / "))
+    return (
+        out.withColumn("theme_name", F.when(
+            F.coalesce(F.size("top_terms"), F.lit(0)) > 0, name)
+            .otherwise(F.concat(F.lit("Theme #"), F.col("cluster_id").cast("string"))))
+        .withColumn("dominant_category", F.coalesce("dominant_category", F.lit("Unknown")))
+        .withColumn("growth_percentage", F.bround(pct, 1))
+        .orderBy("urgency_rank", F.desc("growth_rate"), "cluster_id")
+        .withColumn("growth_rate", F.bround("growth_rate", 4))
+        .withColumn("avg_severity_score", F.bround("avg_severity_score", 4))
+    )

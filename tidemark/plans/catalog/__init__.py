@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["corpus", "rules", "retrieval"]
+MODULES = ["corpus", "rules", "retrieval", "themes"]
 
 
 def _load():

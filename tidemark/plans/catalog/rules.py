@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import lexicon, text as X
 from tidemark.functions.domain import with_domain_gate
+from tidemark.functions.pinning import unnest
 from tidemark.functions.routing import with_routing
 from tidemark.functions.severity import with_severity
 from tidemark.functions.sub_issue import with_sub_issue
@@ -138,7 +139,7 @@ def lexicon_term_counts(spark, sf):
     c = X.with_clean_text(intake.complaints(spark, sf)).select("doc_id", "cleaned")
     c = lexicon.with_padded_tokens(c, "cleaned", "padded", "tokens")
     c = lexicon.with_matches(c, domain_policy.FINANCIAL_TERMS, "padded", "tokens", "found")
-    hits = c.select(F.explode(lexicon.in_order(domain_policy.FINANCIAL_TERMS, "found")).alias("term"))
+    hits = unnest(c, [], lexicon.in_order(domain_policy.FINANCIAL_TERMS, "found"), "term")
     return hits.groupBy("term").agg(F.count("*").alias("narratives"))
 
 
