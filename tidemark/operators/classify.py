@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import pandas as pd
@@ -23,6 +24,7 @@ CONFIDENCE_THRESHOLD = 0.40
 ENTROPY_THRESHOLD = 0.82
 CONFIDENT = 0.70
 MAX_CLASSES = 1_000
+TOLERANCE = 1e-4
 
 
 def with_vector(df: DataFrame, size: int, idx: str = "idx", weights: str = "weights",
@@ -82,6 +84,60 @@ def with_confidence(df: DataFrame, classes: list[str], probabilities: str = "pro
     )
 
 
+def fit_sigmoids(rows: DataFrame, classes: list[str], counts: dict[str, int], steps: int = 50,
+                 tolerance: float = 1e-9) -> list[tuple[float, float]]:
+    """Slope and offset per class that best map a margin to the chance of that class.
+
+    Newton steps on the log-loss with Platt's softened targets, halved where a
+    step made the loss worse. ``rows`` has ``label`` and ``margins``.
+    """
+    n = sum(counts.values())
+    hits = [(counts.get(c, 0) + 1.0) / (counts.get(c, 0) + 2.0) for c in classes]
+    misses = [1.0 / (n - counts.get(c, 0) + 2.0) for c in classes]
+    params = [(0.0, math.log((counts.get(c, 0) + 1.0) / (n - counts.get(c, 0) + 1.0))) for c in classes]
+    best = list(params)
+    best_loss = [math.inf] * len(classes)
+    step = [(0.0, 0.0)] * len(classes)
+    long = rows.select("label", F.posexplode("margins").alias("k", "m"))
+    names = lexicon.strings(classes)
+    for _ in range(steps):
+        table = lexicon.literal(
+            [{"a": a, "b": b, "hit": h, "miss": q} for (a, b), h, q in zip(params, hits, misses)],
+            "array<struct<a:double,b:double,hit:double,miss:double>>")
+        c = F.get(table, F.col("k"))
+        x = c["a"] * F.col("m") + c["b"]
+        t = F.when(F.get(names, F.col("k")) == F.col("label"), c["hit"]).otherwise(c["miss"])
+        sums = (
+            long.select("k", "m", x.alias("x"), t.alias("t"))
+            .withColumn("p", 1.0 / (1.0 + F.exp(-F.col("x"))))
+            .groupBy("k").agg(
+                F.sum(F.greatest("x", F.lit(0.0)) + F.log1p(F.exp(-F.abs("x"))) - F.col("t") * F.col("x")).alias("loss"),
+                F.sum((F.col("p") - F.col("t")) * F.col("m")).alias("ga"),
+                F.sum(F.col("p") - F.col("t")).alias("gb"),
+                F.sum(F.col("p") * (1 - F.col("p")) * F.col("m") * F.col("m")).alias("haa"),
+                F.sum(F.col("p") * (1 - F.col("p")) * F.col("m")).alias("hab"),
+                F.sum(F.col("p") * (1 - F.col("p"))).alias("hbb"))
+            .collect()
+        )
+        moving = False
+        for r in sums:
+            k = r["k"]
+            if r["loss"] > best_loss[k] + tolerance:
+                step[k] = (step[k][0] / 2, step[k][1] / 2)
+            else:
+                moving |= best_loss[k] - r["loss"] > tolerance * max(1.0, abs(r["loss"]))
+                best[k], best_loss[k] = params[k], r["loss"]
+                haa, hbb = r["haa"] + 1e-12, r["hbb"] + 1e-12
+                det = haa * hbb - r["hab"] ** 2
+                step[k] = (-(hbb * r["ga"] - r["hab"] * r["gb"]) / det,
+                           -(haa * r["gb"] - r["hab"] * r["ga"]) / det)
+            moving |= params[k] != best[k] and max(map(abs, step[k])) > tolerance
+            params[k] = (best[k][0] + step[k][0], best[k][1] + step[k][1])
+        if not moving:
+            break
+    return best
+
+
 @dataclass
 class TextClassifier:
     """A fitted classifier; ``sigmoids`` holds slope and offset per class once calibrated."""
@@ -115,7 +171,7 @@ class TextClassifier:
             regression = LogisticRegression(
                 featuresCol="features", labelCol="y", weightCol="w", family="multinomial",
                 standardization=False, elasticNetParam=0.0, regParam=1.0 / (C * n),
-                maxIter=max_iter, tol=1e-6).fit(rows)
+                maxIter=max_iter, tol=TOLERANCE).fit(rows)
         finally:
             rows.unpersist()
         return cls(features, regression, classes)
@@ -139,30 +195,14 @@ class TextClassifier:
     def calibrate(self, df: DataFrame, text: str = "text", label: str = "category") -> "TextClassifier":
         """Fits one sigmoid per class to the margins of held-out rows.
 
-        A row counts towards its class with Platt's softened target, which a
-        weighted pair of a positive and a negative row expresses.
+        All classes are fitted at once; each step is one small aggregation.
         """
         rows = self.margins(df.select(F.col(text).alias("_text"), F.col(label).alias("label")), "_text")
         rows = rows.select("label", "margins").persist(StorageLevel.MEMORY_AND_DISK)
         counts = {r["label"]: r["count"] for r in collect_bounded(
             rows.groupBy("label").count(), MAX_CLASSES)}
         n = sum(counts.values())
-        fitted = []
-        for k, name in enumerate(self.classes):
-            pos = counts.get(name, 0)
-            hit, miss = (pos + 1.0) / (pos + 2.0), 1.0 / (n - pos + 2.0)
-            target = F.when(F.col("label") == name, F.lit(hit)).otherwise(F.lit(miss))
-            pairs = rows.select(
-                F.array(F.get("margins", F.lit(k))).alias("_m"),
-                F.inline(F.array(
-                    F.struct(F.lit(1.0).alias("y"), target.alias("w")),
-                    F.struct(F.lit(0.0).alias("y"), (1.0 - target).alias("w")))))
-            from pyspark.ml.functions import array_to_vector
-
-            one = LogisticRegression(
-                featuresCol="_x", labelCol="y", weightCol="w", regParam=0.0, maxIter=100, tol=1e-8
-            ).fit(pairs.withColumn("_x", array_to_vector("_m")))
-            fitted.append((float(one.coefficients[0]), float(one.intercept)))
+        fitted = fit_sigmoids(rows, self.classes, counts)
         rows.unpersist()
         self.sigmoids = fitted
         return self
