@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["corpus", "rules", "retrieval", "themes", "learning"]
+MODULES = ["corpus", "rules", "retrieval", "themes", "learning", "jobs"]
 
 
 def _load():
