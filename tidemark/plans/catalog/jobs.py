@@ -140,9 +140,10 @@ def engine_choice(spark, sf):
     }
     scores = None
     for name, matches in found.items():
-        one = retrieval.evaluate(matches, queries, cases).select("mrr_at_k").crossJoin(
-            retrieval.paraphrase_scores(retrieval.paraphrase_cases(matches, queries, cases))
-        ).withColumn("engine", F.lit(name))
+        one = retrieval.paraphrase_scores(retrieval.paraphrase_cases(matches, queries, cases)).select(
+            "paraphrase_top1_accuracy",
+            retrieval.evaluate(matches, queries, cases).select("mrr_at_k").scalar().alias("mrr_at_k"),
+            F.lit(name).alias("engine"))
         scores = one if scores is None else scores.unionByName(one)
     return retrieval.choose_engine(scores)
 
