@@ -10,7 +10,7 @@ from tidemark.plans import training, triage
 from tidemark.plans.catalog import learning, sql
 from tidemark.plans.catalog.rules import _BOARD
 from tidemark.policy import domain as domain_policy
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, stored
 from tidemark.sources import complaints as corpus_source, intake, reports
 from tidemark.streaming import stream
 
@@ -27,20 +27,26 @@ def query(name, oracle=None):
     return register
 
 
+_CORPORA: dict = {}
 _SPACES: dict = {}
 
 
+def once(cache, spark, sf, make):
+    """Made once per session and data set."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in cache:
+        cache[key] = make()
+    return cache[key]
+
+
 def corpus(spark, sf):
     rows = corpus_source.labelled(intake.complaints(spark, sf))
-    return with_clean_text(rows).select("doc_id", "cleaned", "category")
+    rows = with_clean_text(rows).select("doc_id", "cleaned", "category")
+    return once(_CORPORA, spark, sf, lambda: stored(rows, "topic-corpus"))
 
 
 def space(spark, sf):
-    """Topic vectors of a session and data set, fitted once."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _SPACES:
-        _SPACES[key] = clustering.TopicSpace.fit(corpus(spark, sf))
-    return _SPACES[key]
+    return once(_SPACES, spark, sf, lambda: clustering.TopicSpace.fit(corpus(spark, sf)))
 
 
 def kmeans_model(spark, sf):

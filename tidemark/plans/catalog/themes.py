@@ -9,6 +9,7 @@ from tidemark.operators import quality, retrieval, selection, topics, vectors
 from tidemark.plans.catalog import sql
 from tidemark.plans.catalog.retrieval import _STOPPED
 from tidemark.policy.labels import CATEGORIES
+from tidemark.session import stored
 from tidemark.sources import complaints as corpus_source, intake
 
 QUERIES, ORACLES = {}, {}
@@ -290,8 +291,9 @@ def vector_topics(spark, sf):
     rows = X.with_clean_text(intake.timed_complaints(spark, sf)).withColumn(
         "category", F.coalesce(corpus_source.category_of(), F.lit("Unlabelled")))
     rows = rows.withColumn("vec_id", F.expr(f"doc_id * {n_vecs} div {n_docs}"))
-    return rows.join(sims, "vec_id", "left").withColumn(
+    rows = rows.join(sims, "vec_id", "left").withColumn(
         "cluster_id", F.coalesce("cluster_id", F.lit(-1)))
+    return stored(rows, "vector-topics")
 
 
 _VECTOR_TOPICS = [

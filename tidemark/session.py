@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", app: str = "tidemark") -> SparkSession:
@@ -45,3 +45,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table, in the folder that all executors share."""
     base = shared_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it back.
+
+    For jobs that pass over costly columns several times: later passes read only
+    the columns they need, and a lost executor costs a reread, not a rerun.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
