@@ -10,7 +10,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, StopWordsRemover
+from pyspark.ml.feature import (
+    CountVectorizer,
+    CountVectorizerModel,
+    ElementwiseProduct,
+    StopWordsRemover,
+)
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -78,14 +83,20 @@ class TfidfModel:
     """A fitted vocabulary with its inverse document frequencies."""
 
     def __init__(self, spark: SparkSession, entries: list[tuple[str, int, int]], n_rows: int,
-                 weighting: Weighting):
+                 weighting: Weighting, counter: CountVectorizerModel | None = None):
         self.spark = spark
-        self.entries = sorted(entries)
-        self.terms = [e[0] for e in self.entries]
+        if counter is None and entries:
+            # Every term occurs once in this one row, so the fit keeps exactly these terms.
+            row = spark.createDataFrame([([e[0] for e in entries],)], "_terms array<string>")
+            counter = CountVectorizer(
+                inputCol="_terms", outputCol="_tf", vocabSize=len(entries), minDF=1.0).fit(row)
+        self.counter = counter
+        self.terms = list(counter.vocabulary) if counter is not None else []
+        by_term = {e[0]: e for e in entries}
+        self.entries = [by_term[t] for t in self.terms]
         self.idf = [smoothed_idf(n_rows, e[1]) for e in self.entries]
         self.n_rows = n_rows
         self.weighting = weighting
-        self._counter = None
 
     @classmethod
     def fit(cls, df: DataFrame, text: str, weighting: Weighting, n_rows: int | None = None) -> "TfidfModel":
@@ -95,7 +106,7 @@ class TfidfModel:
         return cls(df.sparkSession, [(r["term"], r["df"], r["cf"]) for r in rows], n, weighting)
 
     def vocabulary_frame(self) -> DataFrame:
-        """``term_id, term, df, cf, idf``; term ids follow the alphabet."""
+        """``term_id, term, df, cf, idf``; the term id is the position in a vector."""
         rows = [(i, t, d, c, w) for i, ((t, d, c), w) in enumerate(zip(self.entries, self.idf))]
         return self.spark.createDataFrame(
             rows, "term_id int, term string, df bigint, cf bigint, idf double")
@@ -105,10 +116,7 @@ class TfidfModel:
         if not self.terms:
             return df.withColumn(idx, F.array().cast("array<int>")).withColumn(
                 weights, F.array().cast("array<double>"))
-        if self._counter is None:
-            self._counter = CountVectorizerModel.from_vocabulary(
-                self.terms, inputCol="_terms", outputCol="_tf")
-        out = self._counter.transform(with_terms(df, text, self.weighting)).drop("_terms")
+        out = self.counter.transform(with_terms(df, text, self.weighting)).drop("_terms")
         scaled = ElementwiseProduct(
             scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_tfidf")
         out = scaled.transform(out).withColumn("_tf", F.unwrap_udt("_tf")).withColumn(
@@ -128,8 +136,10 @@ class TfidfModel:
         )
 
     def save(self, path: str) -> None:
-        """Vocabulary and settings as Parquet tables."""
+        """Vocabulary and settings as Parquet tables, the counter as an ML model."""
         self.vocabulary_frame().write.mode("overwrite").parquet(f"{path}/vocabulary")
+        if self.counter is not None:
+            self.counter.write().overwrite().save(f"{path}/counter")
         w = self.weighting
         self.spark.createDataFrame(
             [(self.n_rows, w.max_features, w.ngram_max, w.sublinear, w.min_df, w.max_df,
@@ -142,10 +152,12 @@ class TfidfModel:
     def load(cls, spark: SparkSession, path: str) -> "TfidfModel":
         s = spark.read.parquet(f"{path}/weighting").first()
         rows = spark.read.parquet(f"{path}/vocabulary").select("term", "df", "cf").collect()
+        counter = CountVectorizerModel.load(f"{path}/counter") if rows else None
         return cls(
             spark, [tuple(r) for r in rows], s["n_rows"],
             Weighting(s["max_features"], s["ngram_max"], s["sublinear"], s["min_df"], s["max_df"],
                       tuple(s["stop_words"])),
+            counter,
         )
 
 
