@@ -118,7 +118,7 @@ def topic_surges(spark, sf):
         "growth_rate", "severity_level", "urgency")
 
 
-@query("s6_saved_topics_round_trip")
+@query("s6_saved_topics_round_trip", "SELECT 0::BIGINT AS differing_rows")
 def saved_topics_round_trip(spark, sf):
     """Reloaded topics assign like the saved ones: differing rows, expected none."""
     path = scratch_path(spark, "topics")

@@ -242,7 +242,7 @@ def paraphrase_challenge(spark, sf):
     return retrieval.paraphrase_cases(index.query(queries, 5), queries, corpus).drop("query_id")
 
 
-@query("s6_saved_index_round_trip")
+@query("s6_saved_index_round_trip", "SELECT 0::BIGINT AS differing_rows")
 def saved_index_round_trip(spark, sf):
     """A reloaded index answers like the one that was saved: differing rows, expected none."""
     path = scratch_path(spark, "index")
