@@ -152,7 +152,6 @@ def verdict(report: DataFrame) -> DataFrame:
 def report(df: DataFrame, top_terms: DataFrame | None = None, label: str = "cluster_id",
            vec: str = "embedding") -> DataFrame:
     """One row with all quality figures of a labelled set of vectors."""
-    spark = df.sparkSession
     out = size_distribution(df, label)
     coherence = pairwise_coherence(df, label, vec).agg(F.avg("pairwise_coherence"))
     out = out.withColumn("silhouette", F.lit(silhouette(df, label, vec)).cast("double"))
@@ -161,7 +160,6 @@ def report(df: DataFrame, top_terms: DataFrame | None = None, label: str = "clus
     distinct = (term_distinctiveness(top_terms, label).scalar() if top_terms is not None
                 else F.lit(None).cast("double"))
     out = verdict(out.withColumn("term_distinctiveness", distinct))
-    assert spark is not None
     for name, digits in [("noise_rate", 4), ("mean_cluster_size", 2), ("median_cluster_size", 2),
                          ("silhouette", 4), ("davies_bouldin", 4),
                          ("intra_cluster_coherence", 4), ("term_distinctiveness", 4)]:

@@ -197,12 +197,10 @@ def with_sub_issue(source: str, text: str = "cleaned", name: str = "tagged") ->
 
 def with_domain(source: str, raw: str = "narrative", name: str = "gated") -> str:
     """CTEs that add the domain gate columns to ``source``."""
-    words = [t for t in domain.FINANCIAL_TERMS if " " not in t]
     terms = (
         f"list_filter({array(domain.FINANCIAL_TERMS)}, lambda k: CASE WHEN contains(k, ' ') "
         f"THEN contains(low, k) ELSE contains(pad, ' ' || k || ' ') END)"
     )
-    assert words
     # RE2 has ASCII \b only: the terms are found on text whose accented letters became 'q'.
     ascii_low = sub(sub("low", r"[^\x00-\x7F]", "q"), r"[\s]", " ")
     searches = [
