@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["line_dedup", "near_dup"]
+MODULES = [
+    "topk", "chat", "quality", "decontaminate", "line_dedup", "near_dup", "secrets", "mixing", "span_dedup", "lm",
+]
 
 
 def _load():

@@ -210,7 +210,7 @@ def _class_components(docs: DataFrame, classes: DataFrame, width: int, percent:
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, k1, k2 (keys of the text).
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, k1, k2 (keys of the text), stays.
 
     A document's set holds the distinct runs of ``width`` words (A-Z lower-cased, split at ASCII white
     space), or the whole sequence where there are fewer words. Documents whose sets have at least
@@ -218,7 +218,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     links reach. A document without words, or with a null text, has an empty set, is linked with
     nothing and is its own component. Repeated rows are one class. A missing doc_id is larger than any
     other; where a component has no other, component_id is null. ``kept`` is doc_id = component_id,
-    nulls being equal. An empty table gives an empty table.
+    nulls being equal; ``stays`` marks the one (doc_id, text) of each component that survives a
+    filter. An empty table gives an empty table.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sketches = stored(_sketches(docs, width), "sketches")
@@ -226,22 +227,37 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         sketches.where("n > 0")
         .groupBy("print")
         .agg(
-            F.min("doc_id").alias("low"), F.min(F.struct("k1", "k2")).alias("key"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")).alias("low"),
             F.first("n").alias("n"), F.first("regs").alias("regs"),
         )
-        .select(F.monotonically_increasing_id().alias("id"), "print", "low", "key.k1", "key.k2", "n", "regs"),
+        .select(F.monotonically_increasing_id().alias("id"), "print", "low", "low.k1", "low.k2", "n", "regs"),
         "classes",
     )
     roots = _class_components(docs, classes, width, percent)
     rooted = classes.select("id", "print", "low").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = rooted.join(lowest, "root").select("print", "component_id", F.lit(True).alias("known"))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("lowest"))
+    ids = rooted.join(lowest, "root").select("print", "lowest")
+    own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")
+    lowest = F.coalesce(F.col("lowest"), own)
     return sketches.join(ids, "print", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        "k1", "k2",
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        "doc_id", F.col("n").alias("n_shingles"), lowest["doc_id"].alias("component_id"),
+        F.col("doc_id").eqNullSafe(lowest["doc_id"]).alias("kept"),
+        "k1", "k2", own.eqNullSafe(lowest).alias("stays"),
+    )
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each component does; repeated rows stay once."""
+    stay = near_duplicates(docs, width, percent).where("stays").select(
+        F.coalesce("doc_id", F.lit(-1).cast("long")).alias("id"), F.col("doc_id").isNull().alias("no_id"), "k1", "k2"
+    ).distinct()
+    keyed = docs.select(
+        common.others(docs, "doc_id", "text"), "doc_id", "text", *common.content_key("text"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("id"), F.col("doc_id").isNull().alias("no_id"),
+    )
+    key = ["id", "no_id", "k1", "k2"]
+    kept = keyed.join(stay, key, "left_semi").dropDuplicates(key)
+    return kept.select(*common.restored(kept, docs, "doc_id", "text"))
 
 
 def op6_near_dup(spark, sf_dir):
