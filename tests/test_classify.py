@@ -6,18 +6,18 @@ import pytest
 from tidemark.operators import classify, explain, metrics
 
 TRAIN = [
-    ("Unauthorized fraud charge on my credit card stolen money", "Credit Card"),
-    ("Credit report has incorrect dispute error and wrong score", "Credit Reporting"),
-    ("Debt collector keeps calling harassing me for invalid debt", "Debt Collection"),
-    ("Mortgage interest rate calculation is wrong on my loan", "Mortgages & Loans"),
-    ("Checking account overdraft fee charged by bank unlawfully", "Retail Banking"),
+    ("An annual fee and a foreign purchase that is not mine stand on the credit card bill", "Credit Card"),
+    ("The bureau lists a stranger's address and a closed loan in my credit report", "Credit Reporting"),
+    ("A collector rings at night about a debt that belongs to somebody else", "Debt Collection"),
+    ("The lender counts our mortgage escrow twice and will not correct it", "Mortgages & Loans"),
+    ("My bank keeps a deposit from the savings account for a monthly charge", "Retail Banking"),
 ]
 VALIDATION = [
-    ("Stolen card fraud payment charged to my account", "Credit Card"),
-    ("Wrong delinquent mark on credit bureau report", "Credit Reporting"),
-    ("Collection agency calling non stop", "Debt Collection"),
-    ("Loan balance escrow calculation error", "Mortgages & Loans"),
-    ("Atm deposit missing from checking account", "Retail Banking"),
+    ("Purchase on the card bill that I never made", "Credit Card"),
+    ("Closed account still open in the bureau report", "Credit Reporting"),
+    ("Collector wants money for an unknown debt", "Debt Collection"),
+    ("Escrow of the mortgage does not add up", "Mortgages & Loans"),
+    ("Cash deposit never reached the savings account", "Retail Banking"),
 ]
 
 
@@ -31,7 +31,7 @@ def model(spark):
 @pytest.fixture(scope="module")
 def asked(spark):
     return spark.createDataFrame(
-        [(1, "fraudulent charge on my stolen credit card"), (2, "escrow mortgage payment missing"),
+        [(1, "a purchase on the credit card bill"), (2, "escrow and mortgage of the lender"),
          (3, "xyzzy"), (4, "")], "doc_id bigint, text string")
 
 

@@ -5,14 +5,14 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidemark.operators import retrieval, sizing, tfidf, vectors
+from tidemark.operators import ranking, retrieval, sizing, tfidf, vectors
 
 TEXTS = [
-    ("Unauthorized fraud charge on credit card account stolen money", "Credit Card"),
-    ("Disputed incorrect debt collection phone calls demanding payment", "Debt Collection"),
-    ("Credit reporting bureau failed to remove inaccurate collection record", "Credit Reporting"),
-    ("Mortgage interest rate escrow calculation dispute on loan", "Mortgages & Loans"),
-    ("Bank checking account fee charged unlawfully at branch", "Retail Banking"),
+    ("Card bill with a purchase in a city that I never saw", "Credit Card"),
+    ("Collector sends letters about an old gym debt every week", "Debt Collection"),
+    ("Bureau report mixes my file with that of a namesake", "Credit Reporting"),
+    ("Lender moved the mortgage due date without a letter", "Mortgages & Loans"),
+    ("Savings account closed at the branch without a reason", "Retail Banking"),
 ]
 
 
@@ -54,7 +54,7 @@ def test_index_equals_brute_force(spark, corpus):
     for i, v in zip(ids, want):
         assert got[i].keys() == v.keys()
         assert all(abs(got[i][t] - v[t]) < 1e-12 for t in v)
-    q = "fraudulent credit card charge on account"
+    q = "purchase on the card bill of a closed account"
     asked = spark.createDataFrame([(7, q)], "query_id bigint, query string")
     qv = vector(Counter(grams(q)))
     scores = {i: sum(qv.get(t, 0) * x for t, x in v.items()) for i, v in zip(ids, want)}
@@ -75,14 +75,18 @@ def test_blocks_of_queries_give_the_same_answer(spark, corpus, monkeypatch):
     asked = spark.createDataFrame(
         [(i, t) for i, (t, _) in enumerate(TEXTS)], "query_id bigint, query string")
     one = sorted(map(tuple, index.query(asked, 3).collect()))
-    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 20)
+    monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", 2)
+    monkeypatch.setattr(retrieval, "VALUES_AT_ONCE", 7)
+    assert sorted(map(tuple, index.query(asked, 3).collect())) == one
+    monkeypatch.setattr(ranking.in_chunks, "__defaults__", (2,))
+    monkeypatch.setattr(retrieval, "QUERIES_PER_SCAN", 2)
     assert sorted(map(tuple, index.query(asked, 3).collect())) == one
 
 
 def test_evaluation_and_saved_index(spark, corpus, tmp_path):
     index = retrieval.TfidfIndex.build(corpus)
     queries = spark.createDataFrame(
-        [(1, "credit card stolen", "Credit Card"), (2, "debt collection call", "Debt Collection")],
+        [(1, "purchase on a card bill", "Credit Card"), (2, "letters of the collector", "Debt Collection")],
         "query_id bigint, query string, category string")
     matches = index.query(queries, 3)
     perf = retrieval.evaluate(matches, queries, corpus, 3).first()
@@ -114,8 +118,9 @@ def test_dense_top_k_equals_brute_force(spark, monkeypatch):
     q = spark.createDataFrame([(i, [float(x) for x in m[i]]) for i in (40, 3, 7, 11)],
                               "query_id bigint, embedding array<double>")
     unit = m / np.linalg.norm(m, axis=1, keepdims=True)
-    for per_pass in (4096, 2):
-        monkeypatch.setattr(vectors, "QUERIES_PER_PASS", per_pass)
+    for per_scan in (16_384, 2):
+        monkeypatch.setattr(ranking.in_chunks, "__defaults__", (per_scan,))
+        monkeypatch.setattr(vectors, "QUERIES_PER_SCAN", per_scan)
         got = {}
         for r in vectors.top_k_cosine(df, q, 6).orderBy("query_id", "rank").collect():
             got.setdefault(r["query_id"], []).append(r["vec_id"])
@@ -128,3 +133,21 @@ def test_driver_side_collections_are_bounded(spark):
     with pytest.raises(ValueError):
         sizing.collect_bounded(spark.range(11), 10)
     assert len(sizing.collect_bounded(spark.range(10), 10)) == 10
+
+
+def test_vectors_may_be_missing_and_queries_may_repeat(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "vec_id bigint, embedding array<double>")
+    q = spark.createDataFrame([(7, [1.0, 0.1]), (8, None)], "query_id bigint, embedding array<double>")
+    assert [r["vec_id"] for r in vectors.top_k_cosine(df, q, 5).orderBy("rank").collect()] == [1, 3]
+
+
+def test_nearest_centroid_in_several_scans(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows, cents = rng.standard_normal((50, 4)), rng.standard_normal((7, 4))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)] + [(99, None)],
+                               "doc_id int, embedding array<double>")
+    c = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(cents)], "cluster_id int, centroid array<double>")
+    one = sorted(map(tuple, vectors.nearest_centroid(df, c, "doc_id").collect()))
+    assert one[-1][:2] == (99, -1)
+    monkeypatch.setattr(ranking.in_chunks, "__defaults__", (3,))
+    assert sorted(map(tuple, vectors.nearest_centroid(df, c, "doc_id").collect())) == one

@@ -58,3 +58,11 @@ def test_chronological_split_with_many_equal_times(spark):
 def test_quotas_use_the_largest_remainder():
     assert selection.quotas({"a": 5, "b": 3, "c": 2}, 7) == {"a": 4, "b": 2, "c": 1}
     assert sum(selection.quotas({"a": 1, "b": 1, "c": 1}, 2).values()) == 2
+
+
+def test_dates_before_1970_and_missing_times_come_first(spark):
+    rows = [(1, "1960-05-01 00:00:00"), (2, "1980-01-01 00:00:00"), (3, None), (-4, "1960-05-01 00:00:00"), (5, "2001-01-01 00:00:00")]
+    df = spark.createDataFrame(rows, "doc_id bigint, t string").withColumn("ts", F.col("t").cast("timestamp"))
+    for ratio, early in ((0.75, {3}), (0.55, {3, -4}), (0.35, {3, -4, 1}), (0.15, {3, -4, 1, 2})):
+        out = selection.chronological_split(df, ratio).collect()
+        assert {r["doc_id"] for r in out if r["period"] == "baseline"} == early

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import math
+import warnings
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -23,13 +25,16 @@ C = 1.0
 CONFIDENCE_THRESHOLD = 0.40
 ENTROPY_THRESHOLD = 0.82
 CONFIDENT = 0.70
-MAX_CLASSES = 1_000
+MAX_ITER = 1_000
 TOLERANCE = 1e-4
 
 
 def with_vector(df: DataFrame, size: int, idx: str = "idx", weights: str = "weights",
                 out: str = "features") -> DataFrame:
-    """Turns index and weight arrays into ML vectors; batches pass through Arrow unchanged."""
+    """Turns index and weight arrays into ML vectors, for which there is no built-in function.
+
+    All columns pass through Arrow unchanged, so only narrow rows should be given.
+    """
     packed = df.withColumn(out, F.struct(
         F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
         F.col(idx).alias("indices"), F.col(weights).alias("values"))).drop(idx, weights)
@@ -84,58 +89,51 @@ def with_confidence(df: DataFrame, classes: list[str], probabilities: str = "pro
     )
 
 
-def fit_sigmoids(rows: DataFrame, classes: list[str], counts: dict[str, int], steps: int = 50,
-                 tolerance: float = 1e-9) -> list[tuple[float, float]]:
+def fit_sigmoids(rows: DataFrame, classes: list[str], counts: dict[str, int]) -> list[tuple[float, float]]:
     """Slope and offset per class that best map a margin to the chance of that class.
 
-    Newton steps on the log-loss with Platt's softened targets, halved where a
-    step made the loss worse. ``rows`` has ``label`` and ``margins``.
+    One binary regression per class with Platt's softened targets: each row counts for the
+    class with its target and against it with the rest. ``rows`` has ``label`` and ``margins``.
     """
     n = sum(counts.values())
-    hits = [(counts.get(c, 0) + 1.0) / (counts.get(c, 0) + 2.0) for c in classes]
-    misses = [1.0 / (n - counts.get(c, 0) + 2.0) for c in classes]
-    params = [(0.0, math.log((counts.get(c, 0) + 1.0) / (n - counts.get(c, 0) + 1.0))) for c in classes]
-    best = list(params)
-    best_loss = [math.inf] * len(classes)
-    step = [(0.0, 0.0)] * len(classes)
-    long = rows.select("label", F.posexplode("margins").alias("k", "m"))
-    names = lexicon.strings(classes)
-    for _ in range(steps):
-        table = lexicon.literal(
-            [{"a": a, "b": b, "hit": h, "miss": q} for (a, b), h, q in zip(params, hits, misses)],
-            "array<struct<a:double,b:double,hit:double,miss:double>>")
-        c = F.get(table, F.col("k"))
-        x = c["a"] * F.col("m") + c["b"]
-        t = F.when(F.get(names, F.col("k")) == F.col("label"), c["hit"]).otherwise(c["miss"])
-        sums = (
-            long.select("k", "m", x.alias("x"), t.alias("t"))
-            .withColumn("p", 1.0 / (1.0 + F.exp(-F.col("x"))))
-            .groupBy("k").agg(
-                F.sum(F.greatest("x", F.lit(0.0)) + F.log1p(F.exp(-F.abs("x"))) - F.col("t") * F.col("x")).alias("loss"),
-                F.sum((F.col("p") - F.col("t")) * F.col("m")).alias("ga"),
-                F.sum(F.col("p") - F.col("t")).alias("gb"),
-                F.sum(F.col("p") * (1 - F.col("p")) * F.col("m") * F.col("m")).alias("haa"),
-                F.sum(F.col("p") * (1 - F.col("p")) * F.col("m")).alias("hab"),
-                F.sum(F.col("p") * (1 - F.col("p"))).alias("hbb"))
-            .collect()
-        )
-        moving = False
-        for r in sums:
-            k = r["k"]
-            if r["loss"] > best_loss[k] + tolerance:
-                step[k] = (step[k][0] / 2, step[k][1] / 2)
-            else:
-                moving |= best_loss[k] - r["loss"] > tolerance * max(1.0, abs(r["loss"]))
-                best[k], best_loss[k] = params[k], r["loss"]
-                haa, hbb = r["haa"] + 1e-12, r["hbb"] + 1e-12
-                det = haa * hbb - r["hab"] ** 2
-                step[k] = (-(hbb * r["ga"] - r["hab"] * r["gb"]) / det,
-                           -(haa * r["gb"] - r["hab"] * r["ga"]) / det)
-            moving |= params[k] != best[k] and max(map(abs, step[k])) > tolerance
-            params[k] = (best[k][0] + step[k][0], best[k][1] + step[k][1])
-        if not moving:
-            break
-    return best
+    fitted = []
+    for k, name in enumerate(classes):
+        pos = counts.get(name, 0)
+        target = F.when(F.col("label") == name, (pos + 1.0) / (pos + 2.0)).otherwise(1.0 / (n - pos + 2.0))
+        both = rows.select(
+            array_to_vector(F.array(F.get("margins", F.lit(k)))).alias("features"),
+            F.explode(F.array(F.struct(F.lit(1.0).alias("y"), target.alias("w")),
+                              F.struct(F.lit(0.0).alias("y"), (1.0 - target).alias("w")))).alias("t"),
+        ).select("features", "t.y", "t.w")
+        fit = LogisticRegression(
+            labelCol="y", weightCol="w", regParam=0.0, maxIter=MAX_ITER, tol=1e-10).fit(both)
+        warn_if_open(fit, f"sigmoid of {name}")
+        fitted.append((float(fit.coefficients[0]), float(fit.intercept)))
+    return fitted
+
+
+def warn_if_open(fit: LogisticRegressionModel, what: str) -> None:
+    """Tells that an iterative fit used up its iterations."""
+    if fit.hasSummary and fit.summary.totalIterations >= fit.getMaxIter():
+        warnings.warn(f"{what} did not converge in {fit.getMaxIter()} iterations", stacklevel=3)
+
+
+def _margins(matrix: np.ndarray, intercepts: np.ndarray):
+    """Margins of each row from its term ids and weights; only these two columns reach Python."""
+
+    @F.arrow_udf("array<double>")
+    def margins(idx: pa.Array, weights: pa.Array) -> pa.Array:
+        size = pc.fill_null(pc.list_value_length(idx), 0).to_numpy(zero_copy_only=False)
+        out = np.tile(intercepts, (len(size), 1))
+        filled = np.flatnonzero(size)
+        if len(filled):
+            terms = idx.flatten().to_numpy(zero_copy_only=False)
+            products = matrix[terms] * weights.flatten().to_numpy(zero_copy_only=False)[:, None]
+            out[filled] += np.add.reduceat(products, (np.cumsum(size) - size)[filled], axis=0)
+        return pa.ListArray.from_arrays(
+            pa.array(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)), pa.array(out.ravel()))
+
+    return margins
 
 
 @dataclass
@@ -149,12 +147,12 @@ class TextClassifier:
 
     @classmethod
     def fit(cls, df: DataFrame, text: str = "text", label: str = "category", kind: str = "improved",
-            max_iter: int = 200) -> "TextClassifier":
+            max_iter: int = MAX_ITER) -> "TextClassifier":
         """``text`` should be cleaned as it will be when predicting."""
         weighting = BASELINE if kind == "baseline" else IMPROVED
         data = df.select(F.col(text).alias("_text"), F.col(label).alias("label"))
         counts = {r["label"]: r["count"] for r in collect_bounded(
-            data.groupBy("label").count(), MAX_CLASSES)}
+            data.groupBy("label").count())}
         classes, n = sorted(counts), sum(counts.values())
         features = TfidfModel.fit(data, "_text", weighting, n)
         rows = features.transform(data, "_text").select("label", "idx", "weights")
@@ -172,35 +170,33 @@ class TextClassifier:
                 featuresCol="features", labelCol="y", weightCol="w", family="multinomial",
                 standardization=False, elasticNetParam=0.0, regParam=1.0 / (C * n),
                 maxIter=max_iter, tol=TOLERANCE).fit(rows)
+            warn_if_open(regression, f"{kind} model")
         finally:
             rows.unpersist()
         return cls(features, regression, classes)
 
     def margins(self, df: DataFrame, text: str, keep_vectors: bool = False) -> DataFrame:
         """Adds ``margins`` and the uncalibrated ``probabilities``, in class order."""
-        rows = self.features.transform(df, text)
-        if keep_vectors:
-            rows = rows.withColumn("_idx", F.col("idx")).withColumn("_weights", F.col("weights"))
-        rows = with_vector(rows, max(1, len(self.features.terms)), out="_features")
-        model = self.regression.copy()
-        model.setFeaturesCol("_features")
-        out = model.setPredictionCol("").setProbabilityCol("_probability").setRawPredictionCol(
-            "_raw").transform(rows)
-        return (
-            out.withColumn("margins", vector_to_array("_raw"))
-            .withColumn("probabilities", vector_to_array("_probability"))
-            .drop("_features", "_raw", "_probability")
-        )
+        of = _margins(self.regression.coefficientMatrix.toArray().T.copy(),
+                      self.regression.interceptVector.toArray())
+        rows = self.features.transform(df, text, "_idx", "_weights")
+        rows = rows.withColumn("margins", of("_idx", "_weights"))
+        top = F.array_repeat(F.array_max("margins"), F.size("margins"))
+        rows = rows.withColumn("_e", F.zip_with("margins", top, lambda m, t: F.exp(m - t)))
+        rows = rows.withColumn("_s", F.array_repeat(
+            F.aggregate("_e", F.lit(0.0), lambda a, x: a + x), F.size("_e")))
+        rows = rows.withColumn("probabilities", F.zip_with("_e", "_s", lambda x, t: x / t))
+        return rows.drop("_e", "_s") if keep_vectors else rows.drop("_e", "_s", "_idx", "_weights")
 
     def calibrate(self, df: DataFrame, text: str = "text", label: str = "category") -> "TextClassifier":
         """Fits one sigmoid per class to the margins of held-out rows.
 
-        All classes are fitted at once; each step is one small aggregation.
+        Only labels and margins are kept while the sigmoids are fitted.
         """
         rows = self.margins(df.select(F.col(text).alias("_text"), F.col(label).alias("label")), "_text")
         rows = rows.select("label", "margins").persist(StorageLevel.MEMORY_AND_DISK)
         counts = {r["label"]: r["count"] for r in collect_bounded(
-            rows.groupBy("label").count(), MAX_CLASSES)}
+            rows.groupBy("label").count())}
         n = sum(counts.values())
         fitted = fit_sigmoids(rows, self.classes, counts)
         rows.unpersist()
@@ -225,11 +221,10 @@ class TextClassifier:
 
     def coefficients(self) -> DataFrame:
         """``term_id, term, coefs``: the weights of every term, one per class."""
-        m = self.regression.coefficientMatrix.toArray().T
-        frame = pd.DataFrame({"term_id": range(len(self.features.terms)),
-                              "term": self.features.terms, "coefs": list(m)})
+        m = self.regression.coefficientMatrix.toArray().T.tolist()
         return self.features.spark.createDataFrame(
-            frame, "term_id int, term string, coefs array<double>")
+            list(zip(range(len(self.features.terms)), self.features.terms, m)),
+            "term_id int, term string, coefs array<double>")
 
     def coefficient_table(self) -> DataFrame:
         """``class, term, coefficient`` in long form."""

@@ -12,7 +12,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.operators.sizing import collect_bounded
+
 DIGITS_PER_PASS = 4
+LOWEST = -(1 << 63)
 
 
 def hash_key(row_id: Column | str, seed: int) -> Column:
@@ -24,10 +27,13 @@ def time_key(ts: Column | str, row_id: Column | str) -> Column:
     """Chronological order, earlier id first on a tie; rows without a time come first."""
     ts = F.col(ts) if isinstance(ts, str) else ts
     row_id = F.col(row_id) if isinstance(row_id, str) else row_id
-    micros = F.coalesce(F.unix_micros(ts.cast("timestamp")), F.lit(0))
-    return F.concat(
-        F.lpad(F.hex(micros), 16, "0"), F.lpad(F.hex(row_id.cast("bigint")), 16, "0")
-    )
+    micros = F.coalesce(F.unix_micros(ts.cast("timestamp")), F.lit(LOWEST))
+
+    def ordered(n):
+        # Flipping the sign bit puts negative numbers first in the order of the digits.
+        return F.lpad(F.hex(n.bitwiseXOR(F.lit(LOWEST))), 16, "0")
+
+    return F.concat(ordered(micros), ordered(row_id.cast("bigint")))
 
 
 def cutoffs(keys: DataFrame, wanted: list[tuple[str, int]]) -> dict[tuple[str, int], str]:
@@ -89,7 +95,7 @@ def quotas(counts: dict[str, int], total: int) -> dict[str, int]:
 
 
 def _strata_counts(df: DataFrame, stratum: str) -> dict[str, int]:
-    return {r[stratum]: r["count"] for r in df.groupBy(stratum).count().collect()}
+    return {r[stratum]: r["count"] for r in collect_bounded(df.groupBy(stratum).count())}
 
 
 def _keyed(df: DataFrame, stratum: str, row_id: str, seed: int) -> DataFrame:

@@ -11,7 +11,6 @@ import math
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import (
-    CountVectorizer,
     CountVectorizerModel,
     ElementwiseProduct,
     StopWordsRemover,
@@ -86,10 +85,8 @@ class TfidfModel:
                  weighting: Weighting, counter: CountVectorizerModel | None = None):
         self.spark = spark
         if counter is None and entries:
-            # Every term occurs once in this one row, so the fit keeps exactly these terms.
-            row = spark.createDataFrame([([e[0] for e in entries],)], "_terms array<string>")
-            counter = CountVectorizer(
-                inputCol="_terms", outputCol="_tf", vocabSize=len(entries), minDF=1.0).fit(row)
+            counter = CountVectorizerModel.from_vocabulary(
+                [e[0] for e in entries], inputCol="_terms", outputCol="_tf")
         self.counter = counter
         self.terms = list(counter.vocabulary) if counter is not None else []
         by_term = {e[0]: e for e in entries}

@@ -11,6 +11,7 @@ from tidemark.operators.quality import NOISE, dominant
 from tidemark.operators.sizing import broadcast_if_small
 from tidemark.operators.tfidf import Weighting, with_terms
 from tidemark.policy import stop_words
+from tidemark.session import stored
 
 TOP_TERMS = 8
 EXEMPLARS = 3
@@ -20,7 +21,6 @@ MAX_TERMS = 5_000
 GROWTH_THRESHOLD = 0.25
 MIN_RECENT_VOLUME = 10
 MIN_COHERENCE = 0.15
-SEVERITY_SAMPLE = 100
 BASELINE_FLOOR = 0.5
 URGENCY_ORDER = {"Critical": 0, "High": 1, "Moderate": 2, "Monitor": 3}
 
@@ -48,15 +48,15 @@ def class_terms(
     counts = unnest(termed, [label], "_terms", "term").groupBy(label, "term").agg(
         F.count("*").alias("n_tc"))
     # A term's counts in all clusters form one row, so that cutting the vocabulary to
-    # max_terms needs no second look at the texts. What is left is max_terms rows.
+    # max_terms needs no second look at the texts.
     by_term = counts.groupBy("term").agg(
         F.sum("n_tc").alias("f_t"), F.collect_list(F.struct(label, "n_tc")).alias("_in"))
     kept = by_term.orderBy(F.desc("f_t"), F.asc("term")).limit(max_terms)
-    kept = kept.select("term", "f_t", F.inline("_in"))
-    w, everywhere = Window.partitionBy(label), Window.partitionBy(F.lit(1))
+    kept = stored(kept.select("term", "f_t", F.inline("_in")), "class-term-counts")
+    w = Window.partitionBy(label)
+    mean = kept.agg(F.sum("n_tc") / F.count_distinct(label)).scalar()
     scored = (
-        kept.withColumn("_rank", F.dense_rank().over(everywhere.orderBy(label)))
-        .withColumn("_mean", F.sum("n_tc").over(everywhere) / F.max("_rank").over(everywhere))
+        kept.withColumn("_mean", mean)
         .withColumn("words", F.sum("n_tc").over(w))
         .withColumn("score", F.round(
             F.col("n_tc") / F.col("words") * F.ln(1.0 + F.col("_mean") / F.col("f_t")), 12))
@@ -113,20 +113,17 @@ def surges(
     assigned: DataFrame,
     topics: DataFrame,
     text: str = "narrative",
-    order: tuple = ("ts", "doc_id"),
     growth_threshold: float = GROWTH_THRESHOLD,
     min_recent_volume: int = MIN_RECENT_VOLUME,
     min_coherence: float = MIN_COHERENCE,
-    severity_sample: int | None = SEVERITY_SAMPLE,
     signals: dict | None = None,
 ) -> DataFrame:
     """Alerts for themes whose share of the recent period outgrew the baseline.
 
-    ``assigned`` has cluster_id, period (baseline or recent), the narrative and
-    the columns of ``order``; ``topics`` has cluster_id, coherence, top_terms,
-    dominant_category and representative_complaints. The mean severity is taken
-    over the first ``severity_sample`` recent narratives of a theme, as the rule
-    defines it; null takes all of them.
+    ``assigned`` has cluster_id, period (baseline or recent) and the narrative;
+    ``topics`` has cluster_id, coherence, top_terms, dominant_category and
+    representative_complaints. The mean severity is taken over all recent
+    narratives of a theme.
     """
     volumes = assigned.groupBy("cluster_id").agg(
         F.sum(F.when(F.col("period") == "recent", 1).otherwise(0)).alias("recent"),
@@ -138,10 +135,6 @@ def surges(
 
     recent = assigned.filter((F.col("period") == "recent") & (F.col("cluster_id") != NOISE))
     recent = recent.join(broadcast_if_small(per_theme.select("cluster_id")), "cluster_id", "left_semi")
-    if severity_sample is not None:
-        first = Window.partitionBy("cluster_id").orderBy(*order)
-        recent = recent.withColumn("_rn", F.row_number().over(first)).filter(
-            F.col("_rn") <= severity_sample)
     extra = {} if signals is None else {"signals": signals}
     scored = with_severity(
         with_clean_text(recent.select("cluster_id", text), text), details=False, **extra)

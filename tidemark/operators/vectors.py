@@ -13,11 +13,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators.retrieval import best
-from tidemark.operators.sizing import collect_bounded
-
-QUERIES_PER_PASS = 4096
-CENTROIDS = 65_536
+from tidemark.operators.ranking import QUERIES_AT_ONCE, QUERIES_PER_SCAN, Kept, best, in_chunks
+from tidemark.session import stored
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -39,22 +36,18 @@ def top_k_cosine(corpus: DataFrame, queries: DataFrame, k: int = 5, row_id: str
                  vec: str = "embedding") -> DataFrame:
     """``query_id, <row_id>, score, rank``: the k corpus rows closest to each query, exactly.
 
-    ``queries`` has ``query_id`` and ``vec``. More queries than fit one pass are
-    dealt into as many passes as needed; every query is answered.
+    ``queries`` has ``query_id`` and ``vec``; rows without a vector take no part. One scan of
+    the corpus answers thousands of queries; every query is answered.
     """
-    n = queries.count()
-    passes = max(1, -(-n // QUERIES_PER_PASS))
-    part = F.pmod(F.xxhash64("query_id"), F.lit(passes))
     found = None
-    for p in range(passes):
-        mine = queries if passes == 1 else queries.filter(part == p)
-        rows = collect_bounded(mine.select("query_id", vec), 4 * QUERIES_PER_PASS)
-        if not rows:
-            continue
-        ids = [r["query_id"] for r in rows]
-        q = unit_rows(np.array([r[vec] for r in rows], dtype=np.float64))
-        one = corpus.select(row_id, vec).mapInArrow(
-            _best_rows(ids, q, k), f"query_id bigint, {row_id} bigint, score double")
+    rows = corpus.filter(F.col(vec).isNotNull()).select(F.col(row_id).cast("bigint"), vec)
+    for chunk in in_chunks(queries.filter(F.col(vec).isNotNull()).select("query_id", vec)):
+        ids = np.array([r["query_id"] for r in chunk], dtype=np.int64)
+        q = unit_rows(np.array([r[vec] for r in chunk], dtype=np.float64))
+        one = rows.mapInArrow(_best_rows(ids, q, k), f"query_id bigint, {row_id} bigint, score double")
+        if found is None and len(chunk) < QUERIES_PER_SCAN:
+            return best(one, k, row_id=row_id)
+        one = stored(one, "nearest-rows")
         found = one if found is None else found.unionByName(one)
     if found is None:
         return corpus.sparkSession.createDataFrame(
@@ -64,31 +57,15 @@ def top_k_cosine(corpus: DataFrame, queries: DataFrame, k: int = 5, row_id: str
 
 def _best_rows(query_ids, queries, k):
     def run(batches):
-        kept_ids = [np.empty(0, dtype=np.int64)] * len(query_ids)
-        kept_scores = [np.empty(0)] * len(query_ids)
+        kept = Kept(len(query_ids), k)
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            scores = np.round(unit_rows(matrix(batch.column(1))) @ queries.T, 9)
-            for j in range(len(query_ids)):
-                s = np.concatenate([kept_scores[j], scores[:, j]])
-                i = np.concatenate([kept_ids[j], ids])
-                if len(s) > k:
-                    border = np.partition(s, len(s) - k)[len(s) - k]
-                    near = s >= border
-                    s, i = s[near], i[near]
-                order = np.lexsort((i, -s))[:k]
-                kept_scores[j], kept_ids[j] = s[order], i[order]
-        counts = [len(i) for i in kept_ids]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(np.array(query_ids, dtype=np.int64), counts)),
-                pa.array(np.concatenate(kept_ids) if kept_ids else np.empty(0, dtype=np.int64)),
-                pa.array(np.concatenate(kept_scores) if kept_scores else np.empty(0)),
-            ],
-            names=["query_id", "row_id", "score"],
-        )
+            rows = unit_rows(matrix(batch.column(1)))
+            for at in range(0, len(queries), QUERIES_AT_ONCE):
+                kept.add(at, ids, np.round(rows @ queries[at:at + QUERIES_AT_ONCE].T, 9))
+        yield kept.batch(query_ids)
 
     return run
 
@@ -97,30 +74,46 @@ def nearest_centroid(df: DataFrame, centroids: DataFrame, row_id: str, vec: str
                      min_similarity: float = 0.25) -> DataFrame:
     """``<row_id>, cluster_id, similarity`` of the closest centroid by cosine; -1 if too far.
 
-    ``centroids`` has ``cluster_id`` and ``centroid``; without any all rows get -1.
+    ``centroids`` has ``cluster_id`` and ``centroid``; without any all rows get -1, and so do
+    rows without a vector. Centroids that do not fit one scan are answered by further scans.
     """
-    rows = sorted(collect_bounded(centroids.select("cluster_id", "centroid"), CENTROIDS))
-    labels = np.array([r["cluster_id"] for r in rows], dtype=np.int64)
-    c = unit_rows(np.array([r["centroid"] for r in rows], dtype=np.float64)) if rows else None
-
+    id_type = dict(df.dtypes)[row_id]
+    schema = f"{row_id} {id_type}, cluster_id int, similarity double"
+    usable = centroids.filter(F.col("centroid").isNotNull()).select("cluster_id", "centroid")
+    parts = []
+    for chunk in in_chunks(usable.orderBy("cluster_id")):
+        labels = np.array([r["cluster_id"] for r in chunk], dtype=np.int64)
+        c = unit_rows(np.array([r["centroid"] for r in chunk], dtype=np.float64))
+        parts.append(df.select(row_id, vec).mapInArrow(_nearest(labels, c), schema))
+    if not parts:
+        return df.select(row_id, F.lit(-1).alias("cluster_id"), F.lit(0.0).alias("similarity"))
+    near = parts[0]
+    if len(parts) > 1:
+        for one in parts[1:]:
+            near = near.unionByName(one)
+        near = near.groupBy(row_id).agg(F.min(F.struct(
+            (-F.col("similarity")).alias("s"), "cluster_id")).alias("m")).select(
+            row_id, "m.cluster_id", (-F.col("m.s")).alias("similarity"))
+    return near.withColumn("cluster_id", F.when(
+        F.col("similarity") < min_similarity, -1).otherwise(F.col("cluster_id")))
+
+
+def _nearest(labels, c):
     def run(batches):
         for batch in batches:
             n = batch.num_rows
-            if c is None or n == 0:
-                label, sim = np.full(n, -1), np.zeros(n)
-            else:
-                sims = np.round(unit_rows(matrix(batch.column(1))) @ c.T, 9)
+            label, sim = np.full(n, -1), np.zeros(n)
+            has = np.flatnonzero(batch.column(1).is_valid().to_numpy(zero_copy_only=False))
+            if len(has):
+                sims = np.round(unit_rows(matrix(batch.column(1).take(pa.array(has)))) @ c.T, 9)
                 at = sims.argmax(axis=1)
-                sim = sims[np.arange(n), at]
-                label = np.where(sim < min_similarity, -1, labels[at])
+                label[has], sim[has] = labels[at], sims[np.arange(len(has)), at]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(label.astype(np.int32)), pa.array(sim)],
                 names=["row_id", "cluster_id", "similarity"],
             )
 
-    id_type = dict(df.dtypes)[row_id]
-    return df.select(row_id, vec).mapInArrow(
-        run, f"{row_id} {id_type}, cluster_id int, similarity double")
+    return run
 
 
 def group_means(df: DataFrame, group: str, vec: str = "embedding", unit: bool = True) -> DataFrame:

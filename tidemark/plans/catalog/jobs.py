@@ -31,22 +31,14 @@ _CORPORA: dict = {}
 _SPACES: dict = {}
 
 
-def once(cache, spark, sf, make):
-    """Made once per session and data set."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in cache:
-        cache[key] = make()
-    return cache[key]
-
-
 def corpus(spark, sf):
     rows = corpus_source.labelled(intake.complaints(spark, sf))
     rows = with_clean_text(rows).select("doc_id", "cleaned", "category")
-    return once(_CORPORA, spark, sf, lambda: stored(rows, "topic-corpus"))
+    return learning.once(_CORPORA, spark, sf, lambda: stored(rows, "topic-corpus"))
 
 
 def space(spark, sf):
-    return once(_SPACES, spark, sf, lambda: clustering.TopicSpace.fit(corpus(spark, sf)))
+    return learning.once(_SPACES, spark, sf, lambda: clustering.TopicSpace.fit(corpus(spark, sf)))
 
 
 def kmeans_model(spark, sf):
@@ -67,16 +59,9 @@ def kmeans_topics(spark, sf):
                            F.array_join("top_terms", "|").alias("top_terms"))
 
 
-@query("g2_density_topics")
-def density_topics(spark, sf):
-    m = clustering.TopicModel.fit(corpus(spark, sf), method="hdbscan", min_cluster_size=25,
-                                  space=space(spark, sf))
-    return m.labels
-
-
 @query("g13_configuration_sweep")
 def configuration_sweep(spark, sf):
-    """Quality of four configurations and which one to use."""
+    """Quality of the k-means configurations and which one to use."""
     rows, _ = clustering.sweep(corpus(spark, sf))
     choice = clustering.recommend(rows)
     return rows.select(
@@ -118,7 +103,8 @@ def topic_surges(spark, sf):
         "growth_rate", "severity_level", "urgency")
 
 
-@query("s6_saved_topics_round_trip", "SELECT 0::BIGINT AS differing_rows")
+@query("s6_saved_topics_round_trip",
+       sql.with_(sql.LABELLED) + "SELECT 0::BIGINT AS differing_rows, count(*) AS answers FROM labelled")
 def saved_topics_round_trip(spark, sf):
     """Reloaded topics assign like the saved ones: differing rows, expected none."""
     path = scratch_path(spark, "topics")
@@ -127,7 +113,8 @@ def saved_topics_round_trip(spark, sf):
     cols = ("doc_id", "cluster_id")
     a = m.predict(rows).select(*cols)
     b = clustering.TopicModel.load(spark, path).predict(rows).select(*cols)
-    return a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count("*").alias("differing_rows"))
+    return a.exceptAll(b).unionAll(b.exceptAll(a)).agg(
+        F.count("*").alias("differing_rows"), F.lit(b.count()).alias("answers"))
 
 
 @query("k22_engine_choice")
@@ -173,7 +160,10 @@ def full_triage(spark, sf):
 @query(
     "r1_triage_stream",
     _BOARD.replace(f"WHERE narrative IS NOT NULL AND {sql.KNOWN}", "").replace(
-        f"{sql.CATEGORY} AS category", f"coalesce({sql.CATEGORY}, 'Unclassified') AS category")
+        f"{sql.CATEGORY} AS category", f"coalesce({sql.CATEGORY}, 'Unclassified') AS category").replace(
+        "sub_issue_confidence AS confidence, FALSE AS is_uncertain",
+        "CASE WHEN category = 'Unclassified' THEN 0.5 ELSE sub_issue_confidence END AS confidence, "
+        "category = 'Unclassified' AS is_uncertain")
     + f"""SELECT doc_id, in_domain, CASE WHEN in_domain THEN category ELSE 'Out of Domain' END AS category,
       CASE WHEN in_domain THEN severity_level ELSE 'Low' END AS severity_level,
       CASE WHEN in_domain THEN target_queue ELSE {sql.q(domain_policy.REJECTED['target_queue'])} END AS target_queue,
@@ -231,17 +221,20 @@ def sliding_baseline(spark, sf):
         _day("window_start").alias("start_day"), "theme", "volume")
 
 
-@query(
-    "r4_window_surges",
-    _VOL + """, t AS (SELECT *, sum(volume) OVER (PARTITION BY window_start) AS total FROM v),
-      l AS (SELECT *, lag(volume) OVER (PARTITION BY theme ORDER BY window_start) AS bv,
-        lag(total) OVER (PARTITION BY theme ORDER BY window_start) AS bt FROM t),
-      g AS (SELECT *, greatest(bv * total::DOUBLE / bt, 0.5) AS expected FROM l WHERE bv IS NOT NULL),
-      r AS (SELECT *, (volume - expected) / expected AS gr FROM g)
-      SELECT strftime(window_start, '%Y-%m-%d') AS week, theme, volume AS recent_volume, bv AS baseline_volume,
-        round(gr, 6) AS growth_rate, CASE WHEN gr * 100 >= 50 THEN 'High' WHEN gr * 100 >= 25 THEN 'Moderate' ELSE 'Monitor' END AS urgency
-      FROM r WHERE volume >= 10 AND gr >= 0.01""",
-)
+_SURGES = """, t AS (SELECT window_start, sum(volume) AS total FROM v GROUP BY 1),
+  l AS (SELECT v.*, coalesce(b.volume, 0) AS bv, t.total, coalesce(bt.total, 0) AS bt FROM v
+    JOIN t ON t.window_start = v.window_start
+    LEFT JOIN v b ON b.theme = v.theme AND b.window_start = v.window_start - INTERVAL '7 days'
+    LEFT JOIN t bt ON bt.window_start = v.window_start - INTERVAL '7 days'
+    WHERE v.window_start > (SELECT min(window_start) FROM v)),
+  g AS (SELECT *, greatest(bv * total::DOUBLE / greatest(bt, 1), 0.5) AS expected FROM l),
+  r AS (SELECT *, (volume - expected) / expected AS gr FROM g)
+  SELECT strftime(window_start, '%Y-%m-%d') AS week, theme, volume AS recent_volume, bv AS baseline_volume,
+    round(gr, 6) AS growth_rate, CASE WHEN gr * 100 >= 50 THEN 'High' WHEN gr * 100 >= 25 THEN 'Moderate' ELSE 'Monitor' END AS urgency
+  FROM r WHERE volume >= 10 AND gr >= 0.01"""
+
+
+@query("r4_window_surges", _VOL + _SURGES)
 def window_surges(spark, sf):
     """Themes growing from one week to the next."""
     e = intake.table(spark, sf, "events").select("ts", F.col("event_type").alias("theme"))
@@ -249,7 +242,27 @@ def window_surges(spark, sf):
     return s.withColumn("week", _day("window_start")).drop("window_start")
 
 
-@query("r4_surge_stream")
+@query(
+    "r3_baseline_surges",
+    _VOL + """, base AS (SELECT w.window_start, e.event_type AS theme, count(*) AS bv
+        FROM (SELECT DISTINCT window_start FROM v) w JOIN events e
+          ON e.ts < w.window_start AND e.ts >= w.window_start - INTERVAL '30 days' GROUP BY ALL),
+      l AS (SELECT v.*, coalesce(bv, 0) AS bv, sum(v.volume) OVER (PARTITION BY v.window_start) AS total,
+          (SELECT sum(bv) FROM base b WHERE b.window_start = v.window_start) AS bt
+        FROM v LEFT JOIN base b ON b.window_start = v.window_start AND b.theme = v.theme),
+      g AS (SELECT *, greatest(bv * total::DOUBLE / bt, 0.5) AS expected FROM l WHERE bt > 0)
+      SELECT strftime(window_start, '%Y-%m-%d') AS week, theme, volume AS recent_volume, bv AS baseline_volume,
+        round((volume - expected) / expected, 6) AS growth_rate
+      FROM g WHERE volume >= 10 AND (volume - expected) / expected >= 0.01""",
+)
+def baseline_surges(spark, sf):
+    """Themes growing in a week over the thirty days before it."""
+    e = intake.table(spark, sf, "events").select("ts", F.col("event_type").alias("theme"))
+    s = stream.baseline_surges(e, growth_threshold=0.01)
+    return s.withColumn("week", _day("window_start")).drop("window_start")
+
+
+@query("r4_surge_stream", _VOL.replace("FROM events GROUP BY ALL", f"FROM events GROUP BY ALL), v AS (SELECT * FROM w0 {_CLOSED}").replace("WITH v AS", "WITH w0 AS") + _SURGES)
 def surge_stream(spark, sf):
     """The same comparison made by a stream as weeks close."""
     history, alerts = scratch_path(spark, "weeks"), scratch_path(spark, "alerts")

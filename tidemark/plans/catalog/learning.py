@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import classify, explain, metrics
+from tidemark.functions import lexicon
+from tidemark.operators import classify, explain, metrics, vectors
+from tidemark.operators.sizing import collect_bounded
 from tidemark.plans import training
 from tidemark.plans.catalog import sql
+from tidemark.plans.catalog.themes import _UNIT, _means, unit_embeddings
 from tidemark.session import scratch_path
 from tidemark.sources import complaints as corpus_source, intake
 
@@ -23,19 +26,26 @@ def query(name, oracle=None):
     return register
 
 
+_SPLIT: dict = {}
 _TRAINED: dict = {}
 
 
+def once(cache, spark, sf, make):
+    """Made once per session and data set; the first query that asks pays for it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in cache:
+        cache[key] = make()
+    return cache[key]
+
+
 def rows(spark, sf):
-    return training.split_corpus(corpus_source.corpus(intake.complaints(spark, sf)))
+    return once(_SPLIT, spark, sf, lambda: training.split_corpus(
+        corpus_source.corpus(intake.complaints(spark, sf))))
 
 
 def trained(spark, sf):
-    """The calibrated classifier of a session and data set, fitted once."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _TRAINED:
-        _TRAINED[key] = training.train(rows(spark, sf))
-    return _TRAINED[key]
+    """The calibrated classifier of a session and data set."""
+    return once(_TRAINED, spark, sf, lambda: training.train(rows(spark, sf)))
 
 
 N_CLASSES = 10
@@ -43,9 +53,12 @@ CLASSES = [str(i) for i in range(N_CLASSES)]
 
 
 def soft_labels(spark, sf):
-    """Vectors with a probability per label from the softmax of their first components."""
-    e = intake.table(spark, sf, "embeddings")
-    raw = F.transform(F.slice("embedding", 1, N_CLASSES), lambda x: F.exp(x.cast("double") * 8))
+    """Vectors with a probability per label from the softmax of their similarities to the label centroids."""
+    e = unit_embeddings(spark, sf)
+    means = collect_bounded(vectors.group_means(e, "label").select("label", "centroid"), N_CLASSES)
+    centroids = lexicon.literal([r["centroid"] for r in sorted(means)], "array<array<double>>")
+    raw = F.transform(centroids, lambda c: F.exp(8 * F.aggregate(
+        F.zip_with("embedding", c, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)))
     out = e.select("vec_id", F.col("label").alias("label_index"), raw.alias("_e")).withColumn(
         "_s", F.array_repeat(F.aggregate("_e", F.lit(0.0), lambda a, x: a + x), N_CLASSES))
     out = out.withColumn("probabilities", F.zip_with("_e", "_s", lambda x, s: x / s))
@@ -53,7 +66,9 @@ def soft_labels(spark, sf):
     return classify.with_confidence(out, CLASSES)
 
 
-_SOFT = f"""x AS (SELECT vec_id, label, list_transform(embedding[1:{N_CLASSES}], lambda v: exp(v::DOUBLE * 8)) AS e FROM embeddings),
+_SOFT = f"""{_UNIT}, {_means("unit_e", "label", "m")},
+cs AS (SELECT list(c ORDER BY label) AS cs FROM m),
+x AS (SELECT vec_id, label, list_transform(cs, lambda c: exp(8 * list_dot_product(v, c))) AS e FROM unit_e, cs),
 soft AS (SELECT vec_id, label::VARCHAR AS label, label AS label_index, list_transform(e, lambda v: v / list_sum(e)) AS p FROM x),
 pred AS (SELECT *, list_max(p) AS top, (list_position(p, list_max(p)) - 1)::VARCHAR AS prediction,
   -list_sum(list_transform(p, lambda v: CASE WHEN v > 0 THEN v * ln(v) ELSE 0 END)) / ln({N_CLASSES}) AS h FROM soft)"""
@@ -141,7 +156,9 @@ def calibrated_predictions(spark, sf):
                     "is_uncertain", "status")
 
 
-@query("c5_probability_sums")
+@query("c5_probability_sums",
+       sql.with_(sql.CORPUS) + """SELECT ceil(round(0.15::DOUBLE * count(*), 9))::BIGINT AS rows_scored,
+         1.0::DOUBLE AS lowest_sum, 1.0::DOUBLE AS highest_sum FROM corpus""")
 def probability_sums(spark, sf):
     """Calibrated probabilities of a row add up to 1."""
     p = trained(spark, sf).predict(training.part(rows(spark, sf), "test"), "text")

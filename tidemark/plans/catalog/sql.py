@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.policy import domain, labels, routing, severity, sub_issues, text_patterns as P
-from tidemark.sources.intake import PHRASES
+from tidemark.sources.intake import PHRASES, SHORT
 
 
 def q(value) -> str:
@@ -29,24 +29,23 @@ def values(name: str, columns: str, rows) -> str:
 COMPLAINTS = (
     values(
         "phrases",
-        "source, product, phrase, append",
-        [(s, p, t, a) for s, (p, t, a) in PHRASES.items()],
+        "source, product, phrase",
+        [(s, p, t) for s, (p, t) in PHRASES.items()],
     )
+    + ",\n" + values("short", "doc_id, narrative, product", SHORT)
     + """,
 complaints AS (
-  SELECT d.doc_id,
-         CASE WHEN f.phrase IS NULL THEN d.text
-              WHEN f.append THEN f.phrase || ' ' || d.text
-              ELSE f.phrase END AS narrative,
-         f.product
-  FROM documents d LEFT JOIN phrases f ON d.source = f.source)"""
+  SELECT d.doc_id, concat_ws(' ', f.phrase, d.text) AS narrative, f.product
+  FROM documents d LEFT JOIN phrases f ON d.source = f.source
+  UNION ALL SELECT * FROM short)"""
 )
 
 TIMED = (
     COMPLAINTS
     + """,
 timed AS (
-  SELECT c.*, e.ts FROM complaints c LEFT JOIN events e ON c.doc_id * 10 = e.event_id)"""
+  SELECT c.*, e.ts FROM complaints c
+  LEFT JOIN (SELECT event_id // 10 AS k, max(ts) AS ts FROM events GROUP BY 1) e ON c.doc_id = e.k)"""
 )
 
 

@@ -366,9 +366,8 @@ _TITLE = ("array_to_string(list_transform(regexp_extract_all(array_to_string(top
              greatest(coalesce(b, 0) * scale, 0.5) AS bn FROM top t LEFT JOIN vol v ON t.cluster_id = v.cluster_id, sc)""",
         """f AS (SELECT *, (recent_volume - bn) / bn AS gr FROM g WHERE recent_volume >= 5 AND (recent_volume - bn) / bn >= 0.02
              AND round(coherence, 4) >= 0.05)""",
-        """first AS (SELECT * EXCLUDE (cluster_id), cluster_id FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ts, doc_id) AS rn
-             FROM p WHERE period = 'recent') WHERE rn <= 100)""",
-        sql.with_severity("first"),
+        "late AS (SELECT * FROM p WHERE period = 'recent')",
+        sql.with_severity("late"),
         "risk AS (SELECT cluster_id, avg(risk_score) AS risk FROM scored GROUP BY 1)",
         """a AS (SELECT f.*, coalesce(risk, 0) AS risk, CASE WHEN coalesce(risk, 0) >= 0.6 THEN 'High' WHEN coalesce(risk, 0) >= 0.3
              THEN 'Medium' ELSE 'Low' END AS lvl FROM f LEFT JOIN risk k ON k.cluster_id = f.cluster_id)""",

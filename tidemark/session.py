@@ -31,11 +31,13 @@ _fallback: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or one folder of this machine where it is unset, as in tests."""
+    """``spark.checkpoint.dir``; where it is unset, a folder of this machine in local mode only."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     base = base or spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _fallback:
         _fallback.append(tempfile.mkdtemp(prefix="tidemark-"))
     return _fallback[0]
