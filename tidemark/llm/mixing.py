@@ -65,7 +65,9 @@ def cell_weights(
         total = wanted.agg(F.sum("aim").alias("t")).first()["t"] or 1.0
         raked = raked.join(wanted.select(c, (F.col("aim") / F.lit(total)).alias(f"aim_{c}")), c, "left")
     raked = stored(raked.fillna(0.0, [f"aim_{c}" for c in MARGINS]), "cells")
-    for _ in range(sweeps):
+    for sweep in range(sweeps):
+        if sweep and sweep % SWEEPS == 0:  # a longer chain of windows makes too deep a plan
+            raked = stored(raked, "cells")
         for c in MARGINS:
             now = F.sum("weight").over(Window.partitionBy(c))
             raked = raked.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"aim_{c}") / now).otherwise(0.0))

@@ -155,22 +155,24 @@ def fit(docs: DataFrame, labels: DataFrame, bandwidth: float = 4.0, seed: int =
         stats.join(y, "doc_id").select("x", "y", (F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION)) == 0).alias("later")),
         "labelled-statistics",
     )
-    vector = array_to_vector("x")
-    seen = rows.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("y").alias("share"),
-        Summarizer.mean(vector).alias("mean"), Summarizer.std(vector).alias("std"),
-        F.min(F.when(F.col("later"), F.col("y"))).alias("low"), F.max(F.when(F.col("later"), F.col("y"))).alias("high"),
-    ).first()
     rng = np.random.default_rng(seed)
-    share = 0.5 if not seen["n"] else seen["share"]
     model = Model(
-        mean=seen["mean"].toArray() if seen["n"] else np.zeros(STATISTICS),
-        scale=np.maximum(seen["std"].toArray() if seen["n"] else np.ones(STATISTICS), 1e-6),
+        mean=np.zeros(STATISTICS), scale=np.ones(STATISTICS),
         weights=rng.normal(0.0, 1.0 / bandwidth, (STATISTICS, FEATURES)),
         offsets=rng.uniform(0.0, 2 * np.pi, FEATURES),
-        ridge=np.zeros(FEATURES + 1), steps=np.array([0.0]), shares=np.array([share]),
+        ridge=np.zeros(FEATURES + 1), steps=np.array([0.0]), shares=np.array([0.5]),
     )
-    if not seen["n"] or share in (0.0, 1.0):
+    if rows.isEmpty():
+        return model
+    vector = array_to_vector("x")
+    seen = rows.agg(
+        F.avg("y").alias("share"),
+        Summarizer.mean(vector).alias("mean"), Summarizer.std(vector).alias("std"),
+        F.min(F.when(F.col("later"), F.col("y"))).alias("low"), F.max(F.when(F.col("later"), F.col("y"))).alias("high"),
+    ).first()
+    model.mean, model.scale = seen["mean"].toArray(), np.maximum(seen["std"].toArray(), 1e-6)
+    model.shares = np.array([seen["share"]])
+    if seen["share"] in (0.0, 1.0):
         return model
     apart = seen["low"] is not None and seen["low"] != seen["high"]
     sums = _normal_equations(rows.where(~F.col("later")) if apart else rows, model)

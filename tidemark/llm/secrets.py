@@ -143,10 +143,14 @@ def op7_secret_scan(spark, sf_dir):
         F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"], s["end"])), ","
     )
     base = F.filter("found", lambda s: s["kind"] < 3)
+
+    def of_kind(k):
+        return lambda s: s["kind"] == k
+
     count = lambda test: F.size(F.filter("found", test)).cast("long")
     return out.select(
         "doc_id",
-        *(count(lambda s, k=k: s["kind"] == k).alias(f"n_{KINDS[k]}") for k in range(3)),
+        *(count(of_kind(k)).alias(f"n_{KINDS[k]}") for k in range(3)),
         F.sha2(written(base), 256).alias("base_sha256"), written("found").alias("spans"),
         count(lambda s: s["owners"] == 1).alias("n_live"),
         count(lambda s: s["owners"] >= EXAMPLE_OWNERS).alias("n_example"),
