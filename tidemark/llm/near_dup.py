@@ -4,8 +4,8 @@ Documents of one shingle set form one class, and classes carry on alone. A class
 hash of its set under each of many hash functions, compressed to a count of leading zeros and some
 mantissa bits. Bands of registers propose candidates: first every member of a bucket meets the
 bucket's smallest member; then, once these links are contracted, members of one bucket that still lie
-in different components meet each other. An estimate from the registers, corrected for registers that
-agree by chance, thins the candidates; the full sets decide.
+in different components meet block by block, each pair in the first band it shares. An estimate from the registers,
+corrected for registers that agree by chance, thins the candidates; the full sets decide.
 """
 
 from __future__ import annotations
@@ -29,6 +29,10 @@ BANDS, ROWS = 40, 6
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 
+#: Members of one bucket meet in blocks of about this size; only links leave a task.
+BLOCK = 256
+PAIRS_AT_ONCE = 50_000
+
 #: A candidate falls out if its estimate is so many standard errors below the threshold.
 SLACK = 4.5
 
@@ -36,6 +40,7 @@ _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _TERMS = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 _STEP = 1024
+_BAND = np.uint64(63)
 
 
 def registers(items: np.ndarray) -> np.ndarray:
@@ -52,12 +57,12 @@ def registers(items: np.ndarray) -> np.ndarray:
 
 
 def band_hashes(regs: np.ndarray) -> np.ndarray:
-    """One bucket number for each band of each row of registers."""
+    """One bucket number for each band of each row of registers; its last bits are the band."""
     bands = regs.reshape(len(regs), BANDS, ROWS).astype(np.uint64)
     total = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), bands.shape[:2])
     for i in range(ROWS):
         total = common.mix(total * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, i])
-    return total
+    return total & ~_BAND | np.arange(BANDS, dtype=np.uint64)
 
 
 @functools.lru_cache(maxsize=4096)
@@ -69,14 +74,19 @@ def chance(n: int, m: int) -> float:
     return float(np.dot(*p))
 
 
-def _size_class(n: int) -> int:
-    return int(round(1.25 ** round(np.log(n) / np.log(1.25))))
+def size_class(n: np.ndarray) -> np.ndarray:
+    return np.rint(np.log(n) / np.log(1.25)).astype(np.int64)
+
 
+def estimates(agree: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Similarities of pairs of sets from the share of registers that agree, without what agrees by chance."""
+    kinds, place = np.unique(np.stack([size_class(n), size_class(m)], axis=1), axis=0, return_inverse=True)
+    c = np.array([chance(round(1.25**x), round(1.25**y)) for x, y in kinds.tolist()])[place.ravel()]
+    return (agree - c) / (1 - c)
 
-def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> float:
-    """Similarity of two sets from their registers, without what agrees by chance."""
-    c = chance(_size_class(n), _size_class(m))
-    return float(((a == b).mean() - c) / (1 - c))
+
+def least_estimate(percent: int) -> float:
+    return percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
 
 
 def shingle_set(text: bytes, width: int, hashes: common.WordHashes) -> np.ndarray:
@@ -129,24 +139,22 @@ def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where(
         F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     )
-    target = percent / 100
-    least = target - SLACK * (target * (1 - target) / REGISTERS) ** 0.5
+    least = least_estimate(percent)
 
     def run(batches):
         for batch in batches:
-            keep = [
-                estimate(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), n, m) >= least
-                for x, y, n, m in zip(*(batch[c].to_pylist() for c in ("regs_a", "regs_b", "n_a", "n_b")), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("regs_a", "regs_b"))
+            keep = np.zeros(len(x), bool)
+            if len(x):
+                keep = estimates((x == y).mean(axis=1), batch["n_a"].to_numpy(), batch["n_b"].to_numpy()) >= least
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep))
 
     return joined.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(run, "a long, b long")
 
 
-def _full_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """id, items of the classes that occur in ``pairs``, from one text of each."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    keys = classes.join(wanted, "id", "left_semi").select("id", "k1", "k2")
+def _full_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """id, items of the classes in ``ids``, from one text of each; stored."""
+    keys = classes.join(ids.distinct(), "id", "left_semi").select("id", "k1", "k2")
     texts = docs.select(*common.content_key("text"), "text").join(keys, ["k1", "k2"])
 
     def run(batches):
@@ -156,26 +164,93 @@ def _full_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(items, pa.binary())], names=["id", "items"])
 
     sets = texts.select("id", "text").mapInArrow(run, "id long, items binary")
-    return sets.groupBy("id").agg(F.first("items").alias("items"))
+    return stored(sets.groupBy("id").agg(F.first("items").alias("items")), "shingle-sets")
+
 
+def similar(x: bytes, y: bytes, percent: int) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
-def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    pairs = stored(_promising(pairs, classes, percent), "pairs")
-    sets = stored(_full_sets(docs, classes, pairs, width), "shingle-sets")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("items").alias(f"items_{c}"))
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["items_a"].to_pylist(), batch["items_b"].to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            items = zip(batch["items_a"].to_pylist(), batch["items_b"].to_pylist(), strict=True)
+            keep = pa.array([similar(x, y, percent) for x, y in items], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(keep)
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    return stored(joined.select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long"), "confirmed")
+    return joined.select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
+
+
+def _met(members: DataFrame, percent: int) -> DataFrame:
+    """Links a, b of members of one bucket with different roots. ``members``: bucket, size, id, root, regs, items.
+
+    A bucket is dealt into blocks, and two blocks meet in one task, so neither its members nor its pairs
+    ever come together; pairs are compared in place and only links become rows.
+    """
+    dealt = (
+        members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")})
+    )
+    key = ["bucket", "p", "q"]
+    least = least_estimate(percent)
+
+    def links_of(rows: pa.Table):
+        ids, root, block, bucket = (rows[c].to_numpy() for c in ("id", "root", "block", "bucket"))
+        items = rows["items"].to_pylist()
+        n = np.fromiter(map(len, items), np.int64, len(items)) // 8
+        band = (bucket.view(np.uint64) & _BAND).astype(np.int64)
+        same_block = rows["p"].to_numpy() == rows["q"].to_numpy()
+        regs = np.frombuffer(b"".join(rows["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        starts = _edges(rows)[:-1]
+        ends = np.repeat(np.append(starts[1:], len(ids)), np.diff(np.append(starts, len(ids))))
+        after = ends - np.arange(len(ids)) - 1
+        todo = np.cumsum(after)
+        at = 0
+        while at < len(ids):
+            to = max(at + 1, int(np.searchsorted(todo, (todo[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+            left = np.repeat(np.arange(at, to), after[at:to])
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(after[at:to]) - after[at:to], after[at:to])
+            small, large = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
+            open_ = (root[left] != root[right]) & (100 * small >= percent * large)
+            open_ &= same_block[left] | (block[left] != block[right])
+            left, right = left[open_], right[open_]
+            if len(left):
+                agree = regs[left] == regs[right]
+                first = agree.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+                good = (first == band[left]) & (estimates(agree.mean(axis=1), n[left], n[right]) >= least)
+                pairs = zip(left[good].tolist(), right[good].tolist(), strict=True)
+                found = np.array([(x, y) for x, y in pairs if similar(items[x], items[y], percent)], np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]])], names=["a", "b"])
+            at = to
+
+    def _edges(rows: pa.Table) -> np.ndarray:
+        meeting = np.stack([rows[c].to_numpy() for c in key], axis=1)
+        return np.append(np.flatnonzero(np.append(True, (meeting[1:] != meeting[:-1]).any(axis=1))), len(meeting))
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]) if held is not None else rows
+            if not rows.num_rows:
+                continue
+            last = int(_edges(rows)[-2])
+            if last:
+                yield from links_of(rows.slice(0, last).combine_chunks())
+            held = rows.slice(last)
+        if held is not None and held.num_rows:
+            yield from links_of(held.combine_chunks())
+
+    together = dealt.repartition(*key).sortWithinPartitions(*key)
+    return together.select(*key, "block", "id", "root", "regs", "items").mapInArrow(run, "a long, b long")
 
 
 def _class_components(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -188,24 +263,19 @@ def _class_components(docs: DataFrame, classes: DataFrame, width: int, percent:
     )
     members = stored(bands.join(shared, "bucket").where("id <> first"), "bucket-members")
     stars = members.select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    links = _confirmed(docs, classes, stars, width, percent)
+    stars = stored(_promising(stars, classes, percent), "stars")
+    sets = _full_sets(docs, classes, stars.select(F.explode(F.array("a", "b")).alias("id")), width)
+    links = stored(_confirmed(stars, sets, percent), "links")
     roots = components(links)
 
     labelled = (
-        members.where("size > 2")
-        .join(roots, "id", "left")
-        .join(classes.select("id", "n"), "id")
-        .select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
+        members.where("size > 2").join(roots, "id", "left").select("bucket", "size", "id", F.coalesce("root", "id").alias("root"))
     )
     split = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     open_ = stored(labelled.join(split, "bucket", "left_semi"), "open-buckets")
-    left = open_.select("bucket", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    right = open_.select("bucket", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    rest = left.join(right, "bucket").where(
-        (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
-        & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    )
-    more = _confirmed(docs, classes, rest.select("a", "b").distinct(), width, percent)
+    sets = _full_sets(docs, classes, open_.select("id"), width)
+    known = sets.join(classes.select("id", "regs"), "id")
+    more = stored(_met(open_.join(known, "id"), percent), "more-links")
     return components(links.union(more))
 
 
