@@ -1,19 +1,18 @@
 import random
 
 from tests.llm.cases import ODD, SCHEMA, documents, sample, with_clashes
-from tidemark.llm import common, span_dedup
+from tidemark.llm import span_dedup
 
 
 def brute(rows):
     """The same rule in plain loops over exact runs of words."""
-    hashes = common.WordHashes()
     first, cut = {}, {}
     for doc, text in rows:
         data = (text or "").encode()
         if not data:
             cut[doc] = (data, [], [])
             continue
-        ends, word_ends, _ = span_dedup.sentences(data, hashes)
+        ends, word_ends, _ = span_dedup.sentences(data)
         words = data.lower().split()
         starts = [0, *word_ends[:-1].tolist()]
         own = []
@@ -30,7 +29,7 @@ def brute(rows):
     for doc, (data, edges, own) in cut.items():
         gone = {k for i, j, run in own if first[run] != (doc, i) for k in range(i, j + 1)}
         text = b"".join(data[edges[k] : edges[k + 1]] for k in range(len(edges) - 1) if k not in gone) if gone else data
-        out[doc] = (max(0, len(edges) - 1), len(gone), text.decode())
+        out[doc] = (len(gone), text.decode())
     return out
 
 
@@ -38,7 +37,7 @@ def test_equal_to_brute_force(spark, sf):
     texts = {r["doc_id"]: r["text"] for r in sample(spark, sf).collect()}
     got = span_dedup.op9_span_dedup(spark, sf).collect()
     want = brute(sorted(texts.items()))
-    assert {r["doc_id"]: (r["n_sentences"], r["n_removed"], r["text"] or "") for r in got} == want
+    assert {r["doc_id"]: (r["n_removed"], r["text"] or "") for r in got} == want
     for r in got:
         kept, at = "", 0
         for s in r["removed"]:
@@ -69,9 +68,9 @@ def test_passages_go_wherever_they_stand(spark):
 def test_odd_rows_and_clashing_columns(spark):
     df = with_clashes(documents(spark, ODD))
     out = span_dedup.drop_repeated_spans(df)
-    assert out.columns == [*df.columns, "n_sentences", "n_removed", "removed", "first_docs"]
+    assert out.columns == [*df.columns, "n_removed", "removed", "first_docs"]
     rows = {r["doc_id"]: r for r in out.collect()}
-    assert out.count() == len(ODD) and rows[1]["text"] is None and rows[2]["n_sentences"] == 0
+    assert out.count() == len(ODD) and rows[1]["text"] is None
     assert rows[6]["text"] == "Repeated row here." and len(rows[8]["text"]) < 10_000
     assert {r["rest"] for r in rows.values()} == {"own"}
     assert span_dedup.drop_repeated_spans(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -9,9 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 SPACE = b" \t\n\x0b\x0c\r"
 
-#: Distinct words whose hashes a task remembers before it starts afresh.
-CACHED_WORDS = 200_000
-
 #: Bits of a bitmap; it is sent to every executor and never grows.
 BITMAP_BITS = 1 << 24
 
@@ -50,17 +47,8 @@ def as_bytes(column: pa.Array) -> list:
     return column.cast(pa.binary()).to_pylist()
 
 
-class WordHashes(dict):
-    """Hashes of words, computed once per word and task."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,10 +63,10 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     n = len(words) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    total = np.zeros(n, np.uint64)
-    for i in range(width):
-        total = mix(total * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n])
-    return total
+    total = words[:n].copy()
+    for i in range(1, width):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n]
+    return mix(total)
 
 
 def digests(values: list) -> np.ndarray:
@@ -103,8 +91,11 @@ def bitmap(df: DataFrame, h1: str, h2: str) -> np.ndarray:
 
 
 def in_bitmap(bits: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-    found = np.ones(len(h1), bool)
-    for h in (h1, h2):
+    """Positions of the rows whose two hashes the bitmap may hold."""
+
+    def held(h):
         at = h.view(np.uint64) & np.uint64(BITMAP_BITS - 1)
-        found &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-    return found
+        return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+    first = np.flatnonzero(held(h1))
+    return first[held(h2[first])]

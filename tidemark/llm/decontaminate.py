@@ -32,13 +32,12 @@ def _windows(items: DataFrame, window: int, width: int) -> DataFrame:
     """item_id, w1, w2 (hash of the words), words, size, shingle, off, width: a row per window and shingle."""
 
     def run(batches):
-        hashes = common.WordHashes()
         for batch in batches:
             out = [[] for _ in range(7)]
             for i, text in enumerate(common.as_bytes(batch["text"])):
                 words = words_of(text)
                 size = min(window, len(words))
-                own = common.shingles(hashes.of(words), min(width, size)) if size else ()
+                own = common.shingles(common.word_hashes(words), min(width, size)) if size else ()
                 for start in range(len(words) - size + 1 if size else 0):
                     joined = b" ".join(words[start : start + size])
                     for off in range(size - min(width, size) + 1):
@@ -59,28 +58,20 @@ def _windows(items: DataFrame, window: int, width: int) -> DataFrame:
     )
 
 
-def _marked(words: list, hashes: common.WordHashes, widths: list[int], bits) -> list[tuple[np.ndarray, np.ndarray]]:
+def _marked(words: list, widths: list[int], bits) -> list[tuple[np.ndarray, np.ndarray]]:
     """Positions and hashes of the shingles that may be sought, for each width."""
-    own = hashes.of(words)
+    own = common.word_hashes(words)
     out = []
     for width in widths:
         s = common.shingles(own, width)
-        at = np.flatnonzero(common.in_bitmap(bits, s, common.mix(s)))
+        at = common.in_bitmap(bits, s, s >> np.uint64(32))
         out.append((at, s[at]))
     return out
 
 
 def _sought(shingles: DataFrame):
-    """A broadcast bitmap of a column of shingles."""
-
-    def run(batches):
-        for batch in batches:
-            s = batch["shingle"].to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [batch["shingle"], pa.array(common.mix(s.view(np.uint64)).view(np.int64))], names=["h1", "h2"]
-            )
-
-    both = shingles.select("shingle").distinct().mapInArrow(run, "h1 long, h2 long")
+    """A broadcast bitmap of a column of shingles, by both halves of each hash."""
+    both = shingles.select(F.col("shingle").alias("h1"), F.shiftrightunsigned("shingle", 32).alias("h2")).distinct()
     return shingles.sparkSession.sparkContext.broadcast(common.bitmap(both, "h1", "h2"))
 
 
@@ -88,11 +79,10 @@ def _occurrences(docs: DataFrame, bits, widths: list[int]) -> DataFrame:
     """How often the sought shingles occur in all documents: shingle, n."""
 
     def run(batches):
-        hashes = common.WordHashes()
         for batch in batches:
             found = [
                 s for text in common.as_bytes(batch["text"])
-                for _, s in _marked(words_of(text), hashes, widths, bits.value)
+                for _, s in _marked(words_of(text), widths, bits.value)
             ]
             values, counts = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["shingle", "n"])
@@ -108,13 +98,12 @@ def _scanned(docs: DataFrame, bits, widths: list[int], window: int) -> DataFrame
     """rest, doc_id, text, n_words and the places of anchors, each with the words around it."""
 
     def run(batches):
-        hashes = common.WordHashes()
         for batch in batches:
             sizes, found = [], []
             for text in common.as_bytes(batch["text"]):
                 words = words_of(text)
                 own = []
-                for at, s in _marked(words, hashes, widths, bits.value):
+                for at, s in _marked(words, widths, bits.value):
                     for p, shingle in zip(at.tolist(), s.view(np.int64).tolist(), strict=True):
                         start = max(0, p - window + 1)
                         near = b" ".join(words[start : p + window]).decode("utf-8", "replace")

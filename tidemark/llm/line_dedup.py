@@ -61,7 +61,7 @@ def _candidates(docs: DataFrame, min_chars: int, bits) -> DataFrame:
                 at += own_at
                 keys += own
             h = common.digests(keys)
-            hit = np.flatnonzero(common.in_bitmap(bits.value, h[:, 0], h[:, 1]))
+            hit = common.in_bitmap(bits.value, h[:, 0], h[:, 1])
             row = pa.array(np.asarray(rows, np.int64)[hit])
             yield pa.RecordBatch.from_arrays(
                 [*(batch[c].take(row) for c in ("k1", "k2", "doc_id")),

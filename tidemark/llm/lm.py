@@ -86,14 +86,13 @@ def _chunks(docs: DataFrame, training: Column, chunk_tokens: int) -> DataFrame:
         ]))
 
     def run(batches):
-        hashes = common.WordHashes()
         waiting = {False: [], True: []}
         tokens = {False: 0, True: 0}
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             columns = (batch[c].to_pylist() for c in ("doc_id", "trained", "fold"))
             for doc, trained, fold, text in zip(*columns, common.as_bytes(batch["text"]), strict=True):
-                own = np.append(hashes.of((text or b"").lower().split()), _END)
+                own = np.append(common.word_hashes((text or b"").lower().split()), _END)
                 waiting[fold].append((doc, trained, own))
                 tokens[fold] += len(own)
                 if tokens[fold] >= chunk_tokens:

@@ -89,9 +89,9 @@ def least_estimate(percent: int) -> float:
     return percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
 
 
-def shingle_set(text: bytes, width: int, hashes: common.WordHashes) -> np.ndarray:
+def shingle_set(text: bytes, width: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a text; a shorter text is one shingle."""
-    words = hashes.of(text.lower().split())
+    words = common.word_hashes(text.lower().split())
     if not len(words):
         return np.empty(0, np.uint64)
     return np.unique(common.shingles(words, min(width, len(words))))
@@ -99,11 +99,10 @@ def shingle_set(text: bytes, width: int, hashes: common.WordHashes) -> np.ndarra
 
 def _sketches(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
-        hashes = common.WordHashes()
         for batch in batches:
             sizes, prints, regs = [], [], []
             for text in common.as_bytes(batch["text"]):
-                items = shingle_set(text or b"", width, hashes)
+                items = shingle_set(text or b"", width)
                 sizes.append(len(items))
                 prints.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
                 regs.append(registers(items).tobytes() if len(items) else None)
@@ -158,9 +157,8 @@ def _full_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int)
     texts = docs.select(*common.content_key("text"), "text").join(keys, ["k1", "k2"])
 
     def run(batches):
-        hashes = common.WordHashes()
         for batch in batches:
-            items = [shingle_set(t, width, hashes).tobytes() for t in common.as_bytes(batch["text"])]
+            items = [shingle_set(t, width).tobytes() for t in common.as_bytes(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(items, pa.binary())], names=["id", "items"])
 
     sets = texts.select("id", "text").mapInArrow(run, "id long, items binary")

@@ -34,7 +34,7 @@ _CLASSES = [
 STATISTICS = len(_CLASSES) + 12
 
 
-def statistics(text: bytes | None, hashes: common.WordHashes) -> list[float]:
+def statistics(text: bytes | None) -> list[float]:
     """Shares of kinds of characters, lengths and repetition of the words and lines of a whole text."""
     text = text or b""
     n = max(1, len(text))
@@ -44,7 +44,7 @@ def statistics(text: bytes | None, hashes: common.WordHashes) -> list[float]:
     words = text.lower().split()
     m = max(1, len(words))
     lengths = np.fromiter(map(len, words), np.float64, len(words)) if words else np.zeros(1)
-    own = hashes.of(words)
+    own = common.word_hashes(words)
     kinds = np.unique(own, return_counts=True)[1] if words else np.ones(1)
     lines = text.split(b"\n")
     return [
@@ -97,9 +97,8 @@ def _with_statistics(df: DataFrame, *keep: str) -> DataFrame:
     """The columns ``keep`` and the statistics of ``text``."""
 
     def run(batches):
-        hashes = common.WordHashes()
         for batch in batches:
-            rows = [statistics(t, hashes) for t in common.as_bytes(batch["text"])]
+            rows = [statistics(t) for t in common.as_bytes(batch["text"])]
             yield pa.RecordBatch.from_arrays(
                 [*(batch[c] for c in keep), pa.array(rows, pa.list_(pa.float64()))], names=[*keep, "x"]
             )
@@ -191,9 +190,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches):
-        hashes = common.WordHashes()
         for batch in batches:
-            rows = [statistics(t, hashes) for t in common.as_bytes(batch["text"])]
+            rows = [statistics(t) for t in common.as_bytes(batch["text"])]
             x = np.array(rows).reshape(-1, STATISTICS)
             yield pa.RecordBatch.from_arrays(
                 [batch["rest"], batch["text"], pa.array(model.scores(x))], names=["rest", "text", "made"]

@@ -1,6 +1,6 @@
 """Substring dedup over sliding runs of sentences.
 
-A sentence ends after ``.``, ``!`` or ``?`` and white space, or at a line feed; a longer one is cut after words
+A sentence ends after a word that ends in ``.``, ``!`` or ``?``, or before a line feed; a longer one is cut after words
 that their own hash chooses, so that a passage is cut alike wherever it stands. From each sentence on, the shortest run of
 at least two sentences and enough words is hashed. Runs that occur twice keep their first place; sentences
 that any other place covers go.
@@ -8,11 +8,8 @@ that any other place covers go.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import common
@@ -25,32 +22,36 @@ MIN_WORDS = 20
 LONG_SENTENCE = 20
 CUT_EVERY = 8
 
-_END = re.compile(rb"[.!?]+\s+|\n\s*")
-_WORD = re.compile(rb"\S+\s*")
+#: A sentence without such words is cut after so many.
+MOST_WORDS = 64
+
+DOCUMENTS_AT_ONCE = 1000
+
+_SPACE = np.isin(np.arange(256), list(common.SPACE))
+_STOP = np.isin(np.arange(256), list(b".!?"))
 
 
-def sentences(text: bytes, hashes: common.WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sentences(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ends of the sentences in bytes and in words, and the hashes of all words."""
-    words, byte_ends, word_ends = [], [], []
-    start = 0
-    ends = [m.end() for m in _END.finditer(text)]
-    if not ends or ends[-1] < len(text):
-        ends.append(len(text))
-    low = text.lower()
-    for end in ends:
-        own = low[start:end].split()
-        if len(own) > LONG_SENTENCE:
-            cuts = np.flatnonzero(hashes.of(own)[:-1] % np.uint64(CUT_EVERY) == 0) + 1
-            if len(cuts):
-                at = [start + m.end() for m in _WORD.finditer(text[start:end].lstrip())]
-                skipped = end - start - len(text[start:end].lstrip())
-                byte_ends += [at[c - 1] + skipped for c in cuts]
-                word_ends += (cuts + len(words)).tolist()
-        words += own
-        byte_ends.append(end)
-        word_ends.append(len(words))
-        start = end
-    return np.array(byte_ends, np.int64), np.array(word_ends, np.int64), hashes.of(words)
+    own = common.word_hashes(text.lower().split())
+    if not len(own):
+        return np.array([len(text)]), np.array([0]), own
+    chars = np.frombuffer(text, np.uint8)
+    turn = np.diff(np.concatenate([[True], _SPACE[chars], [True]]).astype(np.int8))
+    starts, ends = np.flatnonzero(turn < 0), np.flatnonzero(turn > 0)
+    stop = _STOP[chars[ends - 1]]
+    feeds = np.flatnonzero(chars == 10)
+    stop[:-1] |= np.searchsorted(feeds, ends[:-1]) < np.searchsorted(feeds, starts[1:])
+    stop[-1] = True
+    size = np.diff(np.flatnonzero(stop), prepend=-1)
+    if (size > LONG_SENTENCE).any():
+        stop |= np.repeat(size > LONG_SENTENCE, size) & (own % np.uint64(CUT_EVERY) == 0)
+        last = np.flatnonzero(stop)
+        size = np.diff(last, prepend=-1)
+        for k in np.flatnonzero(size > MOST_WORDS):
+            stop[last[k] - size[k] + MOST_WORDS : last[k] : MOST_WORDS] = True
+    word_ends = np.flatnonzero(stop) + 1
+    return np.append(starts, len(text))[word_ends], word_ends, own
 
 
 def runs(word_ends: np.ndarray, words: np.ndarray, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,110 +66,141 @@ def runs(word_ends: np.ndarray, words: np.ndarray, min_sentences: int, min_words
     return first, last, common.digests([raw[a:b] for a, b in spans])
 
 
-def _runs(docs: DataFrame, min_sentences: int, min_words: int, bits=None) -> DataFrame:
-    """Every run of every document, or those that ``bits`` may hold; ``again``: not its first place in the document."""
+def _hashed(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
+    """Each distinct run of each document, and how often it stands there: h1, h2, doc_id, times."""
 
     def run(batches):
-        hashes = common.WordHashes()
         for batch in batches:
-            out = [[] for _ in range(5)]
-            for i, text in enumerate(common.as_bytes(batch["text"])):
-                if not text:
-                    continue
-                _, word_ends, words = sentences(text, hashes)
-                first, last, h = runs(word_ends, words, min_sentences, min_words)
-                if not len(first):
-                    continue
-                again = np.ones(len(first), bool)
-                again[np.unique(h, axis=0, return_index=True)[1]] = False
-                keep = slice(None) if bits is None else np.flatnonzero(common.in_bitmap(bits.value, h[:, 0], h[:, 1]))
-                for column, values in zip(out, (np.full(len(first), i), first, last, again, h), strict=True):
-                    column.append(values[keep])
-            if not out[0]:
-                continue
-            row, first, last, again, h = map(np.concatenate, out)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch[c].take(at) for c in ("k1", "k2", "doc_id")), pa.array(first.astype(np.int32)),
-                 pa.array(last.astype(np.int32)), pa.array(again), pa.array(np.ascontiguousarray(h[:, 0])),
-                 pa.array(np.ascontiguousarray(h[:, 1]))],
-                names=["k1", "k2", "doc_id", "first", "last", "again", "h1", "h2"],
-            )
+            for part in _parts(batch):
+                rows, hashes, times = [], [], []
+                for i, text in enumerate(common.as_bytes(part["text"])):
+                    if text:
+                        _, word_ends, words = sentences(text)
+                        h = runs(word_ends, words, min_sentences, min_words)[2]
+                        once, n = np.unique(h[:, 0], return_index=True, return_counts=True)[1:]
+                        rows.append(np.full(len(once), i))
+                        hashes.append(h[once])
+                        times.append(n)
+                if rows:
+                    h = np.concatenate(hashes)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])),
+                         part["doc_id"].take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(times))],
+                        names=["h1", "h2", "doc_id", "times"],
+                    )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "h1 long, h2 long, doc_id long, times long")
+
+
+_FOUND = "first int, last int, start int, stop int, again boolean, h1 long, h2 long"
+
+
+def _candidates(docs: DataFrame, min_sentences: int, min_words: int, bits) -> DataFrame:
+    """Runs that may be repeated, by sentence (first, last) and byte (start, stop); ``again``: not the first place
+    in the document."""
+
+    def run(batches):
+        for batch in batches:
+            for part in _parts(batch):
+                out = [[] for _ in range(7)]
+                for i, text in enumerate(common.as_bytes(part["text"])):
+                    if not text:
+                        continue
+                    ends, word_ends, words = sentences(text)
+                    first, last, h = runs(word_ends, words, min_sentences, min_words)
+                    again = np.ones(len(first), bool)
+                    again[np.unique(h[:, 0], return_index=True)[1]] = False
+                    keep = common.in_bitmap(bits.value, h[:, 0], h[:, 1])
+                    start, stop = np.append(0, ends)[first], ends[last]
+                    for column, values in zip(out, (np.full(len(first), i), first, last, start, stop, again, h), strict=True):
+                        column.append(values[keep])
+                if out[0]:
+                    row, first, last, start, stop, again, h = map(np.concatenate, out)
+                    at = pa.array(row)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(part[c].take(at) for c in ("k1", "k2", "doc_id")),
+                         *(pa.array(x.astype(np.int32)) for x in (first, last, start, stop)), pa.array(again),
+                         pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))],
+                        names=["k1", "k2", "doc_id", "first", "last", "start", "stop", "again", "h1", "h2"],
+                    )
 
     keyed = docs.select(*common.content_key("doc_id", "text"), "doc_id", "text")
-    return keyed.mapInArrow(run, "k1 long, k2 long, doc_id long, first int, last int, again boolean, h1 long, h2 long")
+    return keyed.mapInArrow(run, f"k1 long, k2 long, doc_id long, {_FOUND}")
+
+
+def _parts(batch: pa.RecordBatch):
+    """Few documents at a time, since a document makes a row for each of its sentences."""
+    return (batch.slice(i, DOCUMENTS_AT_ONCE) for i in range(0, batch.num_rows, DOCUMENTS_AT_ONCE))
+
+
+def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping and touching spans made one, in order."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def _without(df: DataFrame) -> DataFrame:
-    """Takes the covered sentences out of the texts; adds n_sentences, n_removed and removed (code points)."""
+    """Takes the covered sentences out of the texts; adds n_removed and removed (code points)."""
 
     def run(batches):
-        hashes = common.WordHashes()
         for batch in batches:
-            texts, counts, gone, spans = [], [], [], []
+            texts, gone, spans = [], [], []
             for text, drops in zip(common.as_bytes(batch["text"]), batch["drops"].to_pylist(), strict=True):
-                ends = sentences(text, hashes)[0] if text else np.empty(0, np.int64)
-                covered = np.zeros(len(ends) + 1, np.int64)
-                for d in drops or ():
-                    covered[d["first"]] += 1
-                    covered[d["last"] + 1] -= 1
-                drop = np.cumsum(covered)[:-1] > 0
-                edges = np.concatenate([[0], ends])
-                removed, kept = [], []
-                if drop.any():
-                    turn = np.flatnonzero(np.diff(np.concatenate([[False], drop, [False]]).astype(np.int8)))
-                    at = chars = 0
-                    for a, b in edges[turn].reshape(-1, 2).tolist():
-                        before, out = text[at:a].decode("utf-8", "replace"), text[a:b].decode("utf-8", "replace")
-                        kept.append(before)
-                        removed.append({"start": chars + len(before), "end": chars + len(before) + len(out)})
-                        chars += len(before) + len(out)
-                        at = b
-                    kept.append(text[at:].decode("utf-8", "replace"))
-                texts.append("".join(kept) if removed else None if text is None else text.decode("utf-8", "replace"))
-                counts.append(len(ends))
-                gone.append(int(drop.sum()))
+                kept, removed, at, chars = [], [], 0, 0
+                for a, b in joined_spans([(d["start"], d["stop"]) for d in drops or ()]):
+                    before, out = text[at:a].decode("utf-8", "replace"), text[a:b].decode("utf-8", "replace")
+                    kept.append(before)
+                    removed.append({"start": chars + len(before), "end": chars + len(before) + len(out)})
+                    chars += len(before) + len(out)
+                    at = b
+                texts.append(None if text is None else "".join(kept) + text[at:].decode("utf-8", "replace"))
+                gone.append(sum(b - a for a, b in joined_spans([(d["first"], d["last"] + 1) for d in drops or ()])))
                 spans.append(removed)
             yield pa.RecordBatch.from_arrays(
-                [batch["rest"], batch["doc_id"], pa.array(texts, pa.string()), pa.array(counts, pa.int64()),
-                 pa.array(gone, pa.int64()), pa.array(spans, _SPAN), batch["first_docs"]],
-                names=["rest", "doc_id", "text", "n_sentences", "n_removed", "removed", "first_docs"],
+                [batch["rest"], batch["doc_id"], pa.array(texts, pa.string()), pa.array(gone, pa.int64()),
+                 pa.array(spans, _SPAN), batch["first_docs"]],
+                names=["rest", "doc_id", "text", "n_removed", "removed", "first_docs"],
             )
 
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     return df.mapInArrow(
-        run, f"rest {types['rest']}, doc_id long, text string, n_sentences long, n_removed long,"
+        run, f"rest {types['rest']}, doc_id long, text string, n_removed long,"
         " removed array<struct<start:int,end:int>>, first_docs array<bigint>"
     )
 
 
 def drop_repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without repeated spans in ``text``; adds n_sentences, n_removed, removed (spans of the old text in
+    """``docs`` without repeated spans in ``text``; adds n_removed (sentences), removed (spans of the old text in
     code points) and first_docs (the documents that keep what was removed).
 
     The first place of a run is in the smallest doc_id, at its first position there; case of A-Z and the kind
     of white space do not matter. Rows that repeat a doc_id count as that document and keep the same;
     a missing doc_id is larger than any other, and runs that only such rows hold keep a place in each. A null
-    text stays null and has no sentence; texts too short for a run stay whole. An empty table gives an
+    text stays null; texts too short for a run stay whole. An empty table gives an
     empty table. Other columns pass through; the added names replace columns of theirs.
     """
     named = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     repeated = stored(
-        _runs(named, min_sentences, min_words)
-        .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("origin"))
+        _hashed(named, min_sentences, min_words)
+        .groupBy("h1", "h2").agg(F.sum("times").alias("n"), F.min("doc_id").alias("origin"))
         .where("n > 1").select("h1", "h2", "origin"),
         "repeated-runs",
     )
     bits = docs.sparkSession.sparkContext.broadcast(common.bitmap(repeated, "h1", "h2"))
     drops = (
-        _runs(named, min_sentences, min_words, bits)
+        _candidates(named, min_sentences, min_words, bits)
         .join(repeated, ["h1", "h2"])
         .where(F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("origin")))
         .groupBy("k1", "k2")
-        .agg(F.collect_list(F.struct("first", "last")).alias("drops"), F.sort_array(F.collect_set("origin")).alias("first_docs"))
+        .agg(F.collect_list(F.struct("first", "last", "start", "stop")).alias("drops"), F.sort_array(F.collect_set("origin")).alias("first_docs"))
     )
     keyed = named.select(
         common.others(named, "doc_id", "text"), "doc_id", "text", *common.content_key("doc_id", "text")
@@ -176,14 +208,14 @@ def drop_repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min
     joined = keyed.join(drops, ["k1", "k2"], "left").select(
         "rest", "doc_id", "text", "drops", F.coalesce("first_docs", F.array().cast("array<bigint>")).alias("first_docs")
     )
-    made = {c: F.col(c) for c in ("n_sentences", "n_removed", "removed", "first_docs")}
+    made = {c: F.col(c) for c in ("n_removed", "removed", "first_docs")}
     return _without(joined).select(*common.restored(joined, docs, "doc_id", "text", **made))
 
 
 def op9_span_dedup(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return drop_repeated_spans(docs).select(
-        "doc_id", "n_sentences", "n_removed", "removed", "first_docs", "text",
+        "doc_id", "n_removed", "removed", "first_docs", "text",
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
 
