@@ -38,3 +38,30 @@ def test_odd_rows_and_clashing_columns(spark):
     assert {r["topic"] for r in plain.collect()} == {"short", "long"}
     assert mixing.mixed(spark.createDataFrame([], SCHEMA)).count() == 0
     assert mixing.mixed(documents(spark, ODD).select("doc_id", "text")).count() == len(ODD)
+
+
+def test_one_rare_row_leaves_the_mix_its_share(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source", "lang")
+    rare = lambda text: docs.unionByName(spark.createDataFrame([(-1, text, "unseen", "xx")], docs.schema))
+    tokens = F.sum(F.col("tokens") * F.col("probability")) / F.sum("tokens")
+    usual = mixing.mixed(docs).agg(tokens).first()[0]
+    with pytest.warns(UserWarning, match="source 'unseen' .* off"):
+        out = mixing.mixed(rare("word"))
+    assert out.agg(tokens).first()[0] == pytest.approx(usual, rel=0.01)
+    assert out.where("doc_id = -1").first()["probability"] == 1.0
+    more = rare("word " * 10)
+    assert mixing.mixed(more).agg(tokens).first()[0] == pytest.approx(mixing.LEAST_SHARE, rel=1e-6)
+    assert mixing.mixed(more, token_share=0.5).agg(tokens, F.max("probability")).first() == (pytest.approx(0.5, rel=1e-6), 1.0)
+
+
+def test_raking_goes_on_until_the_margins_meet_their_targets(spark):
+    cells = spark.createDataFrame(
+        [(s, l, "own", 9_000 if s == l else 30) for s in ("a", "b") for l in ("a", "b")],
+        "source string, lang string, topic string, tokens long",
+    )
+    wanted = {c: spark.createDataFrame([("a", w), ("b", 1 - w)], "name string, weight double") for c, w in (("source", 0.7), ("lang", 0.5))}
+    off = lambda w: mixing.residuals(w, mixing._aims(cells, wanted, 1.0)).agg(F.max("off")).first()[0]
+    raked = mixing.cell_weights(cells, wanted)
+    assert off(raked) <= mixing.TOLERANCE
+    with pytest.warns(UserWarning, match="raking ended after"):
+        mixing.cell_weights(cells, wanted | {"source": spark.createDataFrame([("a", 0.5), ("c", 0.5)], "name string, weight double")})

@@ -1,11 +1,14 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
 Tokens are added up by cell (source, language, topic). Raking scales the cells in turn to each marginal's
-target; a document is then kept with a probability in proportion to its cell's weight per token.
+target; a document is then kept with a probability in proportion to its cell's weight per token, 1 at most.
 """
 
 from __future__ import annotations
 
+import warnings
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm import common
@@ -14,6 +17,16 @@ from tidemark.session import stored
 
 SWEEPS = 8
 
+#: Raking goes on by so many sweeps until every name's share is within TOLERANCE of its aim (as a part of the aim),
+#: or further sweeps bring it no nearer, or MOST_SWEEPS are made.
+TOLERANCE = 1e-3
+MOST_SWEEPS = 200
+
+#: Without a stated share or budget, cells under RARE of the tokens do not set the sampling rate, and this part of the
+#: tokens is expected to be kept at least.
+RARE = 1e-5
+LEAST_SHARE = 0.09
+
 #: Default targets: each marginal's share of tokens to this power, so that rare sources gain.
 TEMPER = 0.7
 SEED = 11
@@ -48,30 +61,106 @@ def _keyed(docs: DataFrame) -> DataFrame:
     ).withColumns({} if known["topic"] is not None else {"topic": topic})
 
 
+def _aims(cells: DataFrame, targets: dict[str, DataFrame] | None, temper: float) -> dict[str, DataFrame]:
+    """Each marginal's aims: its column and aim_<column>, which add up to 1."""
+    aims = {}
+    for c in MARGINS:
+        if targets and c in targets:
+            wanted = targets[c].groupBy(F.col("name").alias(c)).agg(F.sum("weight").cast("double").alias("aim"))
+        else:
+            wanted = cells.groupBy(c).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("aim"))
+        total = wanted.agg(F.sum("aim").alias("t")).first()["t"] or 1.0
+        aims[c] = wanted.select(c, (F.col("aim") / F.lit(total)).alias(f"aim_{c}"))
+    return aims
+
+
+def residuals(cells: DataFrame, aims: dict[str, DataFrame], amount: str = "weight") -> DataFrame:
+    """margin, name, aim, share (of ``amount``) and off, the difference as a part of the aim, for each name with an aim."""
+    total = F.lit(cells.agg(F.sum(amount)).first()[0] or 1.0)
+    return reduce(DataFrame.unionByName, [
+        aims[c].where(F.col(f"aim_{c}") > 0)
+        .join(cells.groupBy(c).agg((F.sum(amount) / total).alias("share")), c, "left")
+        .select(F.lit(c).alias("margin"), F.col(c).alias("name"), F.col(f"aim_{c}").alias("aim"), F.coalesce("share", F.lit(0.0)).alias("share"))
+        for c in MARGINS
+    ]).withColumn("off", F.abs(F.col("share") / F.col("aim") - 1))
+
+
+def _worst(rows: DataFrame):
+    return rows.agg(F.max(F.struct("off", "margin", "name", "aim", "share")).alias("w")).first()["w"]
+
+
+def _warn_if_off(rows: DataFrame, tolerance: float, what: str) -> None:
+    worst = _worst(rows)
+    if worst and worst["off"] > tolerance:
+        warnings.warn(
+            f"{what}: {worst['margin']} {worst['name']!r} has the share {worst['share']:.6g}, its aim is {worst['aim']:.6g}"
+            f" ({worst['off']:.1%} off; the tolerance is {tolerance:g})", stacklevel=3,
+        )
+
+
 def cell_weights(
-    cells: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, sweeps: int = SWEEPS
+    cells: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, sweeps: int = SWEEPS,
+    tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """``cells`` (source, lang, topic, tokens) with weight: the raked share of each cell.
 
     ``targets`` may give a table (name, weight) for a marginal; names it does not list get nothing. Other
-    marginals aim at their share of tokens to the power of ``temper``.
+    marginals aim at their share of tokens to the power of ``temper``. After ``sweeps`` sweeps, more are made
+    until the marginals meet ``tolerance``; aims that no weights can meet together end it with a warning.
     """
+    return _raked(cells, _aims(cells, targets, temper), sweeps, tolerance)
+
+
+def _raked(cells: DataFrame, aims: dict[str, DataFrame], sweeps: int, tolerance: float) -> DataFrame:
     raked = cells.withColumn("weight", F.col("tokens").cast("double"))
     for c in MARGINS:
-        if targets and c in targets:
-            wanted = targets[c].groupBy(F.col("name").alias(c)).agg(F.sum("weight").cast("double").alias("aim"))
-        else:
-            wanted = cells.groupBy(c).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("aim"))
-        total = wanted.agg(F.sum("aim").alias("t")).first()["t"] or 1.0
-        raked = raked.join(wanted.select(c, (F.col("aim") / F.lit(total)).alias(f"aim_{c}")), c, "left")
+        raked = raked.join(aims[c], c, "left")
     raked = stored(raked.fillna(0.0, [f"aim_{c}" for c in MARGINS]), "cells")
-    for sweep in range(sweeps):
-        if sweep and sweep % SWEEPS == 0:  # a longer chain of windows makes too deep a plan
-            raked = stored(raked, "cells")
-        for c in MARGINS:
-            now = F.sum("weight").over(Window.partitionBy(c))
-            raked = raked.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"aim_{c}") / now).otherwise(0.0))
-    return stored(raked.select(*MARGINS, "tokens", "weight"), "raked-cells")
+    done, before = 0, float("inf")
+    while True:
+        for sweep in range(sweeps if not done else min(SWEEPS, MOST_SWEEPS - done)):
+            if sweep and sweep % SWEEPS == 0:  # a longer chain of windows makes too deep a plan
+                raked = stored(raked, "cells")
+            for c in MARGINS:
+                now = F.sum("weight").over(Window.partitionBy(c))
+                raked = raked.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"aim_{c}") / now).otherwise(0.0))
+            done += 1
+        raked = stored(raked, "raked-cells")
+        worst = _worst(residuals(raked, aims))
+        off = worst["off"] if worst else 0.0
+        if off <= tolerance or off > before * 0.999 or done >= MOST_SWEEPS or not done:
+            break
+        before = off
+    _warn_if_off(residuals(raked, aims), tolerance, f"raking ended after {done} sweeps")
+    return raked.select(*MARGINS, "tokens", "weight")
+
+
+def sampling_rate(raked: DataFrame, token_budget: float | None = None, token_share: float | None = None) -> float:
+    """What a cell's weight per token is multiplied by, to be its probability where that is under 1.
+
+    The expected tokens are ``token_budget``, or ``token_share`` of those in cells with a weight: cells whose
+    probability would exceed 1 are kept whole and the others share the rest by their weights. With neither, the largest
+    probability of cells that are not RARE is 1, or LEAST_SHARE holds where that would keep less.
+    """
+    per_token = F.col("weight") / F.col("tokens")
+    open_cells = raked.where("weight > 0")
+    total, tokens = open_cells.agg(F.sum("weight"), F.sum("tokens")).first()
+    if not total:
+        return 0.0
+    if token_budget is None and token_share is None:
+        top = open_cells.agg(F.coalesce(F.max(F.when(F.col("tokens") >= RARE * tokens, per_token)), F.max(per_token))).first()[0]
+        chance = F.least(F.lit(1.0), per_token / F.lit(top))
+        if open_cells.agg(F.sum(F.col("tokens") * chance)).first()[0] >= LEAST_SHARE * tokens:
+            return 1.0 / top
+        token_share = LEAST_SHARE
+    wanted = min(x for x in (token_budget, None if token_share is None else token_share * tokens) if x is not None)
+    rate = wanted / total
+    while True:  # rises to the rate at which nothing more is capped
+        whole = per_token * F.lit(rate) >= 1
+        capped, rest = raked.agg(F.sum(F.when(whole, F.col("tokens"))), F.sum(F.when(~whole, F.col("weight")))).first()
+        if not capped or not rest or (wanted - capped) / rest <= rate * (1 + 1e-12):
+            return rate
+        rate = (wanted - capped) / rest
 
 
 def draw(key: Column, seed: int = SEED) -> Column:
@@ -82,25 +171,28 @@ def draw(key: Column, seed: int = SEED) -> Column:
 
 def mixed(
     docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER,
-    sweeps: int = SWEEPS, seed: int = SEED, token_budget: float | None = None,
+    sweeps: int = SWEEPS, seed: int = SEED, token_budget: float | None = None, token_share: float | None = None,
 ) -> DataFrame:
     """``docs`` with topic, tokens, probability and kept added.
 
-    The largest probability is 1, so the expected tokens follow the raked weights exactly and no document
-    is used twice; ``token_budget`` lowers all probabilities alike. A document without doc_id draws by its text,
+    No document is used twice. ``token_budget`` or ``token_share`` states the expected tokens, else ``sampling_rate``
+    says how many they are. They follow the raked weights exactly where no cell is capped at 1; a warning names
+    the largest difference where the mix misses its aims by more than TOLERANCE. A document without doc_id draws by its text,
     and repeated rows share a draw. A null source, language or topic counts as the empty name; without a
     column topic, length classes stand for it. An empty table gives an empty table; columns of
     the added names are replaced.
     """
     keyed = _keyed(docs)
     cells = stored(keyed.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cell-tokens")
-    raked = cell_weights(cells, targets, temper, sweeps)
-    per_token = F.col("weight") / F.col("tokens")
-    top, total = raked.agg(F.max(per_token), F.sum("weight")).first()
-    rate = 1.0 / top if top else 0.0
-    if token_budget is not None and total:
-        rate = min(rate, token_budget / total)
-    odds = raked.select(*MARGINS, F.least(F.lit(1.0), per_token * F.lit(rate)).alias("probability"))
+    aims = _aims(cells, targets, temper)
+    raked = _raked(cells, aims, sweeps, TOLERANCE)
+    rate = sampling_rate(raked, token_budget, token_share)
+    chance = F.least(F.lit(1.0), F.col("weight") / F.col("tokens") * F.lit(rate))
+    odds = raked.select(*MARGINS, "tokens", chance.alias("probability"))
+    expected = odds.withColumn("amount", F.col("tokens") * F.col("probability"))
+    if rate:
+        _warn_if_off(residuals(expected, aims, "amount"), TOLERANCE, "expected mix")
+    odds = odds.drop("tokens")
     key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
     joined = keyed.join(broadcast_if_small(odds, MAX_CELLS), list(MARGINS))
     made = {
