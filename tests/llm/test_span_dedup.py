@@ -74,3 +74,43 @@ def test_odd_rows_and_clashing_columns(spark):
     assert rows[6]["text"] == "Repeated row here." and len(rows[8]["text"]) < 10_000
     assert {r["rest"] for r in rows.values()} == {"own"}
     assert span_dedup.drop_repeated_spans(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def every_run(rows):
+    """What is left of each text when every repeated run, of any length, keeps its first place only."""
+    first, cut = {}, {}
+    for doc, text in rows:
+        data = (text or "").encode()
+        ends, word_ends, _ = span_dedup.sentences(data)
+        words, starts = data.lower().split(), [0, *word_ends[:-1].tolist()]
+        own = [
+            (i, j, hash(tuple(words[s : word_ends[j]]))) for i, s in enumerate(starts)
+            for j in range(i + span_dedup.MIN_SENTENCES - 1, len(starts)) if word_ends[j] - s >= span_dedup.MIN_WORDS
+        ]
+        cut[doc] = (data, [0, *ends.tolist()], own)
+        for i, _, run in own:
+            first[run] = min(first.get(run, (doc, i)), (doc, i))
+    out = {}
+    for doc, (data, edges, own) in cut.items():
+        gone = {k for i, j, run in own if first[run] != (doc, i) for k in range(i, j + 1)}
+        out[doc] = b"".join(data[a:b] for k, (a, b) in enumerate(zip(edges, edges[1:])) if k not in gone).decode()
+    return out
+
+
+def test_equal_to_a_search_of_every_run(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in sample(spark, sf).collect()}
+    got = {r["doc_id"]: r["text"] or "" for r in span_dedup.op9_span_dedup(spark, sf).collect()}
+    assert got == every_run(sorted(texts.items()))
+
+
+def test_passages_go_to_their_last_sentence(spark):
+    rng = random.Random(7)
+    sentence = lambda n: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n)) + "."
+    rows, passages = [], {}
+    for p, sizes in enumerate([(15, 8, 6), (12, 9, 3, 2), (20, 4), (10, 10, 1, 1, 1), (2, 18, 2), (12, 3, 12)]):
+        passages[p] = " ".join(map(sentence, sizes))
+        rows += [(10 * p + i, f"{sentence(14)} {sentence(11)} {passages[p]} {sentence(13)} {sentence(9)}", "en", "a") for i in range(3)]
+    out = {r["doc_id"]: r["text"] for r in span_dedup.drop_repeated_spans(documents(spark, rows)).collect()}
+    for doc, text, *_ in rows:
+        want = text if doc % 10 == 0 else text.replace(passages[doc // 10], "")
+        assert out[doc].split() == want.split()

@@ -1,9 +1,9 @@
 """Substring dedup over sliding runs of sentences.
 
 A sentence ends after a word that ends in ``.``, ``!`` or ``?``, or before a line feed; a longer one is cut after words
-that their own hash chooses, so that a passage is cut alike wherever it stands. From each sentence on, the shortest run of
-at least two sentences and enough words is hashed. Runs that occur twice keep their first place; sentences
-that any other place covers go.
+that their own hash chooses, so that a passage is cut alike wherever it stands. The shortest run of at
+least two sentences and enough words is hashed from each sentence on, and up to each sentence: together these cover
+every sentence of any longer run. Runs that occur twice keep their first place; sentences that any other place covers go.
 """
 
 from __future__ import annotations
@@ -55,12 +55,15 @@ def sentences(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def runs(word_ends: np.ndarray, words: np.ndarray, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last sentence of each run, and its hash in two columns."""
+    """First and last sentence of each run in order, and its hash in two columns."""
+    n = len(word_ends)
     starts = np.concatenate([[0], word_ends[:-1]])
-    last = np.searchsorted(word_ends, starts + min_words)
-    last = np.maximum(last, np.arange(len(starts)) + min_sentences - 1)
-    first = np.flatnonzero((last < len(word_ends)) & (word_ends > starts))
-    last = last[first]
+    at = np.arange(n)
+    last = np.maximum(np.searchsorted(word_ends, starts + min_words), at + min_sentences - 1)
+    first = np.minimum(np.searchsorted(starts, word_ends - min_words, side="right") - 1, at - min_sentences + 1)
+    onward, back = (last < n) & (word_ends > starts), (first >= 0) & (word_ends > starts)
+    pairs = np.unique(np.concatenate([at[onward] * n + last[onward], first[back] * n + at[back]]))
+    first, last = pairs // n, pairs % n
     raw = words.tobytes()
     spans = zip((starts[first] * 8).tolist(), (word_ends[last] * 8).tolist(), strict=True)
     return first, last, common.digests([raw[a:b] for a, b in spans])
