@@ -25,13 +25,16 @@ from tidemark.llm.lm import pack, unpack
 from tidemark.session import stored
 
 #: A chunk ends with the document that reaches either.
-CHUNK_TOKENS = 4_000_000
-CHUNK_WORDS = 500_000
+CHUNK_TOKENS = 1_500_000
+CHUNK_WORDS = 250_000
 
 #: Characters of the corpus for each range of word hashes, and the fewest ranges.
 RANGE_CHARS = 12_000_000
 MIN_RANGES = 8
 
+#: Rows that a task decodes at a time.
+DECODED_ROWS = 200
+
 #: Longer texts are split piece by piece; a cut is made only where a pre-token begins.
 PIECE_CHARS = 1 << 20
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
@@ -225,15 +228,16 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
         known = np.array([t is not None for t in table.value], bool)
         lengths = np.array([len(t or b"") for t in table.value], np.int64)
         data, starts = np.frombuffer(b"".join(t or b"" for t in table.value), np.uint8), np.cumsum(lengths) - lengths
-        for batch in batches:
-            out = []
-            for ids in batch["ids"].to_pylist():
-                own = None if ids is None or len(ids) % 4 else np.frombuffer(ids, "<u4").astype(np.int64)
-                if own is None or own.max(initial=-1) >= len(known) or not known[own].all():
-                    out.append(None)
-                else:
-                    out.append(gathered(data, starts[own], lengths[own]).tobytes())
-            yield batch.append_column("decoded", pa.array(out, pa.binary()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, DECODED_ROWS):
+                batch, out = whole.slice(at, DECODED_ROWS), []
+                for ids in batch["ids"]:
+                    own = None if not ids.is_valid or len(ids.as_buffer()) % 4 else np.frombuffer(ids.as_buffer(), "<u4")
+                    if own is None or own.max(initial=0) >= len(known) or not known[own].all():
+                        out.append(None)
+                    else:
+                        out.append(gathered(data, starts[own], lengths[own]).tobytes())
+                yield batch.append_column("decoded", pa.array(out, pa.binary()))
 
     plain = encoded.drop("decoded")
     types = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in plain.schema)
