@@ -11,6 +11,7 @@ are ids and goes to every task.
 from __future__ import annotations
 
 import base64
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import common
 from tidemark.llm.lm import pack, unpack
-from tidemark.session import stored
+from tidemark.session import scratch_path
 
 #: A chunk ends with the document that reaches either.
 CHUNK_TOKENS = 1_500_000
@@ -32,6 +33,9 @@ CHUNK_WORDS = 250_000
 RANGE_CHARS = 12_000_000
 MIN_RANGES = 8
 
+#: Most buckets of a stored table of chunks.
+MAX_BUCKETS = 50_000
+
 #: Rows that a task decodes at a time.
 DECODED_ROWS = 200
 
@@ -135,6 +139,22 @@ def _chunks(docs: DataFrame, pattern: str, ranges: int, chunk_tokens: int, chunk
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _CHUNK_DDL)
 
 
+def _bucketed(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Stores chunks bucketed by their number, so that the answers come to them and they need no shuffle.
+
+    The table's files lie in the shared folder; its name is given up at once, since the files are read by path
+    from then on.
+    """
+    spark = chunks.sparkSession
+    path = scratch_path(spark, "bpe-chunks")
+    name = f"bpe_chunks_{uuid.uuid4().hex}"
+    chunks.write.bucketBy(buckets, "chunk").option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # resolved now, with its buckets
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def _encoder(ranks, pattern: str):
     return lambda blocks: _encoded(blocks, ranks.value, pattern)
 
@@ -201,7 +221,7 @@ def encode(
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     ranges = max(MIN_RANGES, -(-chars // RANGE_CHARS))
-    made = stored(_chunks(docs, pattern, ranges, chunk_tokens, chunk_words), "bpe-chunks")
+    made = _bucketed(_chunks(docs, pattern, ranges, chunk_tokens, chunk_words), min(ranges, MAX_BUCKETS))
     table = spark.sparkContext.broadcast(ranks)
     answers = (
         made.where("range is not null").select("chunk", "range", "lengths", "words")
