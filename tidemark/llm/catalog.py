@@ -6,7 +6,7 @@ import importlib
 
 MODULES = [
     "topk", "chat", "quality", "decontaminate", "line_dedup", "near_dup", "secrets", "mixing", "span_dedup", "lm",
-    "lexical", "bpe",
+    "rtree", "lexical", "bpe",
 ]
 
 
