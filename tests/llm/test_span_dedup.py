@@ -5,31 +5,24 @@ from tidemark.llm import span_dedup
 
 
 def brute(rows):
-    """The same rule in plain loops over exact runs of words."""
+    """Every repeated run, of any length, keeps its first place only: sentences removed and what is left, in plain loops."""
     first, cut = {}, {}
     for doc, text in rows:
         data = (text or "").encode()
-        if not data:
-            cut[doc] = (data, [], [])
-            continue
         ends, word_ends, _ = span_dedup.sentences(data)
-        words = data.lower().split()
-        starts = [0, *word_ends[:-1].tolist()]
-        own = []
-        for i, s in enumerate(starts):
-            for j in range(i + span_dedup.MIN_SENTENCES - 1, len(starts)):
-                if word_ends[j] - s >= span_dedup.MIN_WORDS:
-                    if word_ends[i] > s:
-                        own.append((i, j, tuple(words[s : word_ends[j]])))
-                    break
+        words, starts = data.lower().split(), [0, *word_ends[:-1].tolist()]
+        own = [
+            (i, j, hash(tuple(words[s : word_ends[j]]))) for i, s in enumerate(starts)
+            for j in range(i + span_dedup.MIN_SENTENCES - 1, len(starts)) if word_ends[j] - s >= span_dedup.MIN_WORDS
+        ]
         cut[doc] = (data, [0, *ends.tolist()], own)
         for i, _, run in own:
             first[run] = min(first.get(run, (doc, i)), (doc, i))
     out = {}
     for doc, (data, edges, own) in cut.items():
         gone = {k for i, j, run in own if first[run] != (doc, i) for k in range(i, j + 1)}
-        text = b"".join(data[edges[k] : edges[k + 1]] for k in range(len(edges) - 1) if k not in gone) if gone else data
-        out[doc] = (len(gone), text.decode())
+        left = [data[a:b] for k, (a, b) in enumerate(zip(edges, edges[1:])) if k not in gone]
+        out[doc] = (len(gone), b"".join(left).decode())
     return out
 
 
@@ -76,33 +69,6 @@ def test_odd_rows_and_clashing_columns(spark):
     assert span_dedup.drop_repeated_spans(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def every_run(rows):
-    """What is left of each text when every repeated run, of any length, keeps its first place only."""
-    first, cut = {}, {}
-    for doc, text in rows:
-        data = (text or "").encode()
-        ends, word_ends, _ = span_dedup.sentences(data)
-        words, starts = data.lower().split(), [0, *word_ends[:-1].tolist()]
-        own = [
-            (i, j, hash(tuple(words[s : word_ends[j]]))) for i, s in enumerate(starts)
-            for j in range(i + span_dedup.MIN_SENTENCES - 1, len(starts)) if word_ends[j] - s >= span_dedup.MIN_WORDS
-        ]
-        cut[doc] = (data, [0, *ends.tolist()], own)
-        for i, _, run in own:
-            first[run] = min(first.get(run, (doc, i)), (doc, i))
-    out = {}
-    for doc, (data, edges, own) in cut.items():
-        gone = {k for i, j, run in own if first[run] != (doc, i) for k in range(i, j + 1)}
-        out[doc] = b"".join(data[a:b] for k, (a, b) in enumerate(zip(edges, edges[1:])) if k not in gone).decode()
-    return out
-
-
-def test_equal_to_a_search_of_every_run(spark, sf):
-    texts = {r["doc_id"]: r["text"] for r in sample(spark, sf).collect()}
-    got = {r["doc_id"]: r["text"] or "" for r in span_dedup.op9_span_dedup(spark, sf).collect()}
-    assert got == every_run(sorted(texts.items()))
-
-
 def test_passages_go_to_their_last_sentence(spark):
     rng = random.Random(7)
     sentence = lambda n: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n)) + "."
