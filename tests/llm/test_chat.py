@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat
@@ -15,8 +16,9 @@ def unescaped(text):
 def parsed(window):
     out = []
     for piece in window["formatted"].split("</turn>\n")[:-1]:
-        m = re.match(r"(?s)<turn ((?:\\.|[^\\>])*)>(.*)$", piece)
-        out.append((unescaped(m[1]), unescaped(m[2])))
+        role, text = piece.removeprefix("<turn ").split(">", 1)
+        role = re.sub(r"\\(.)", lambda m: {"b": "\\", "l": "<", "g": ">"}[m[1]], role)
+        out.append((role, unescaped(text)))
     return out
 
 
@@ -81,6 +83,21 @@ def test_marks_in_texts_long_conversations_and_odd_rows(spark):
     assert chat.chat_windows(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_long_roles(spark, tmp_path):
+    roles = ["r" * 200_000, "\\" * 200_000, ">" * 200_000, "\\g>\\b<turn </turn>\n" * 10_000, "</turn>\n", "\\", "", None]
+    rows = [(c, i, role, f"text {i}") for c in (1, 2) for i, role in enumerate(roles if c == 1 else reversed(roles))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    windows = chat.chat_windows(df)
+    check(rows, windows.collect())
+    read = chat.read_back(windows).select("conv_id", "w", F.explode("turns").alias("t")).select("conv_id", "t.*").collect()
+    assert sorted(tuple(r) for r in read) == sorted((c, role or "", text) for c, _, role, text in rows)
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    duckdb.sql(f"CREATE OR REPLACE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = chat.op2_chat_windows(spark, str(tmp_path))
+    want = duckdb.sql(f"SELECT {', '.join(got.columns)} FROM ({chat.ORACLES['op2_chat_windows']})").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def test_no_python_on_the_main_path(spark, sf):
     plan = chat.op2_chat_windows(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

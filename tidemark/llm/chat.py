@@ -3,9 +3,9 @@ r"""Chat formatting in budgeted windows, in DataFrame operations only.
 Prefix sums of turn tokens cut a conversation at fixed marks: turns that lie between two marks form a span, a
 turn across a mark joins the span after it where both fit, and is a window of its own otherwise. Every window
 starts with the system turn and a limited history; what it repeats is masked, so each assistant text is under
-loss once. A turn is written ``<turn ROLE>TEXT</turn>`` and a line feed. In texts and roles a backslash is
-doubled and one is put between ``<`` and ``turn`` or ``/turn`` (in roles before ``>`` too), so nothing in them
-reads as a mark and unescaping gives them back.
+loss once. A turn is written ``<turn ROLE>TEXT</turn>`` and a line feed. In texts a backslash is doubled and one is
+put between ``<`` and ``turn`` or ``/turn``; in roles ``\``, ``<`` and ``>`` become ``\b``, ``\l`` and ``\g``. So
+nothing in them reads as a mark, the first ``>`` ends a head, and unescaping gives both back.
 
 Prefix sums are taken in blocks of turns, so a very long conversation is spread over many tasks.
 """
@@ -27,6 +27,10 @@ MARK_TOKENS = 4
 #: Turns of one block of the prefix sums: 2 to this power.
 BLOCK_BITS = 9
 
+#: What stands for signs in roles; the backslash is written first and read last.
+ROLE_CODES = (("\\", "\\b"), ("<", "\\l"), (">", "\\g"))
+
+_OPEN = "<turn "
 _CLOSE = "</turn>\n"
 _KEY = ["conv", "no_id"]
 
@@ -36,7 +40,15 @@ def escaped(text: Column) -> Column:
 
 
 def escaped_role(role: Column) -> Column:
-    return F.replace(escaped(role), F.lit(">"), F.lit("\\>"))
+    for sign, code in ROLE_CODES:
+        role = F.replace(role, F.lit(sign), F.lit(code))
+    return role
+
+
+def unescaped_role(role: Column) -> Column:
+    for sign, code in reversed(ROLE_CODES):
+        role = F.replace(role, F.lit(code), F.lit(sign))
+    return role
 
 
 def unescaped(text: Column) -> Column:
@@ -103,7 +115,8 @@ def chat_windows(
     are words and four for the marks of a turn. A window is within ``budget`` unless one turn, or a system turn of
     over half the budget, is too long by itself: no text is cut. ``loss`` covers the escaped assistant texts that are
     not repeated. Turns go by turn, then role and text, so ties and repeated rows have a fixed order and all stay; a
-    null turn comes first, a null role or text is empty, and rows without conv_id are one conversation.
+    null turn comes first, a null role or text is empty and either may be of any length, and rows without conv_id are
+    one conversation.
     An empty table gives no rows. Other columns are not used.
     """
     placed = stored(_placed(turns), "turns")
@@ -125,7 +138,7 @@ def chat_windows(
         F.sort_array(F.collect_list(F.struct("seq", "repeated", "role", "text"))).alias("turns")
     )
     parts = F.transform("turns", lambda t: F.struct(
-        F.concat(F.lit("<turn "), escaped_role(t["role"]), F.lit(">")).alias("head"), escaped(t["text"]).alias("body"),
+        F.concat(F.lit(_OPEN), escaped_role(t["role"]), F.lit(">")).alias("head"), escaped(t["text"]).alias("body"),
         ((t["role"] == "assistant") & ~t["repeated"]).alias("learnt"),
     ))
     ends = F.aggregate(
@@ -150,9 +163,10 @@ def chat_windows(
 def read_back(windows: DataFrame) -> DataFrame:
     """conv_id, w, turns (array of role, text; each turn in one window only), learnt (array of texts under loss)."""
     pieces = F.filter(F.split("formatted", _CLOSE), lambda p: p != "")
-    head = r"(?s)^<turn ((?:\\.|[^\\>])*)>(.*)$"
+    head = lambda p: F.substring_index(p, ">", 1)
     turns = F.transform(pieces, lambda p: F.struct(
-        unescaped(F.regexp_extract(p, head, 1)).alias("role"), unescaped(F.regexp_extract(p, head, 2)).alias("text")
+        unescaped_role(F.substring(head(p), F.lit(len(_OPEN) + 1), F.length(p))).alias("role"),
+        unescaped(F.substring(p, F.length(head(p)) + 2, F.length(p))).alias("text"),
     ))
     learnt = F.transform("loss", lambda s: unescaped(F.substring("formatted", s["start"] + 1, s["end"] - s["start"])))
     return windows.select(
@@ -200,7 +214,7 @@ WITH rows AS (
   UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) r(i)),
 counted AS (
   SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + {MARK_TOKENS} AS tokens,
-         6 + length(replace({_ESC.format('role')}, '>', '\>')) + 1 + length({_ESC.format('text')}) + {len(_CLOSE)} AS chars
+         6 + length(role) + length(regexp_replace(role, '[^\\<>]', '', 'g')) + 1 + length({_ESC.format('text')}) + {len(_CLOSE)} AS chars
   FROM rows),
 placed AS (
   SELECT *, row_number() OVER o AS seq, (sum(tokens) OVER o - tokens)::BIGINT AS before
