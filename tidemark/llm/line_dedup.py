@@ -104,9 +104,9 @@ def drop_repeated_lines(
 
     A key is a line without ASCII white space at its ends and with A-Z lower-cased. Keys of at least
     ``min_chars`` code points found in at least ``min_documents`` documents stay in the largest
-    ``doc_id`` that holds them only. Each row counts as a document, so repeated rows count each; rows
-    that repeat a doc_id are treated alike. A null text has one empty line and stays null. Rows without
-    a doc_id count as documents but never as the largest; a key found in such rows alone stays.
+    ``doc_id`` that holds them only. Rows that repeat a doc_id are one document and are treated alike; each row
+    without a doc_id is a document of its own, but never the largest, and a key found in such rows alone
+    stays. A null text has one empty line and stays null.
     Empty tables give empty tables. Other columns pass through; n_lines and n_dropped replace columns
     of these names.
     """
@@ -114,7 +114,7 @@ def drop_repeated_lines(
     frequent = stored(
         _line_hashes(named, min_chars)
         .groupBy("h1", "h2")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
+        .agg((F.count_distinct("doc_id") + F.count_if(F.col("doc_id").isNull())).alias("n"), F.max("doc_id").alias("last"))
         .where((F.col("n") >= min_documents) & F.col("last").isNotNull())
         .select("h1", "h2", "last"),
         "frequent-lines",
