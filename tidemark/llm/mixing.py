@@ -15,17 +15,17 @@ from tidemark.llm import common
 from tidemark.operators.sizing import broadcast_if_small
 from tidemark.session import stored
 
-SWEEPS = 8
+#: Sweeps of raking, whatever the table, and after how many of them the cells are written (a longer chain of
+#: windows makes too deep a plan).
+SWEEPS = 16
+WRITTEN_SWEEPS = 8
 
-#: Raking goes on by so many sweeps until every name's share is within TOLERANCE of its aim (as a part of the aim),
-#: or further sweeps bring it no nearer, or MOST_SWEEPS are made.
+#: A margin further from its aim (as a part of the aim) is named in a warning.
 TOLERANCE = 1e-3
-MOST_SWEEPS = 200
 
-#: Without a stated share or budget, cells under RARE of the tokens do not set the sampling rate, and this part of the
-#: tokens is expected to be kept at least.
-RARE = 1e-5
-LEAST_SHARE = 0.09
+#: The part of the tokens that is expected to be kept where nothing else is stated: low enough that few cells would need
+#: a probability over 1, so that the mix meets its aims.
+TOKEN_SHARE = 0.1
 
 #: Default targets: each marginal's share of tokens to this power, so that rare sources gain.
 TEMPER = 0.7
@@ -35,7 +35,7 @@ MARGINS = ("source", "lang", "topic")
 #: Token counts that separate the length classes, which stand for topics where there is no such column.
 SHORT, LONG = 100, 1000
 
-#: Cells up to this number go to every executor; more are joined by a shuffle.
+#: Cells up to this number are raked in one task and go to every executor; more are shuffled.
 MAX_CELLS = 50_000
 
 
@@ -100,59 +100,47 @@ def _warn_if_off(rows: DataFrame, tolerance: float, what: str) -> None:
 
 def cell_weights(
     cells: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, sweeps: int = SWEEPS,
-    tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """``cells`` (source, lang, topic, tokens) with weight: the raked share of each cell.
 
     ``targets`` may give a table (name, weight) for a marginal; names it does not list get nothing. Other
-    marginals aim at their share of tokens to the power of ``temper``. After ``sweeps`` sweeps, more are made
-    until the marginals meet ``tolerance``; aims that no weights can meet together end it with a warning.
+    marginals aim at their share of tokens to the power of ``temper``. A warning names the margin furthest from its
+    aim where the sweeps leave one further than TOLERANCE, as they must where no weights meet all aims together.
     """
-    return _raked(cells, _aims(cells, targets, temper), sweeps, tolerance)
+    return _raked(cells, _aims(cells, targets, temper), sweeps)
 
 
-def _raked(cells: DataFrame, aims: dict[str, DataFrame], sweeps: int, tolerance: float) -> DataFrame:
+def _raked(cells: DataFrame, aims: dict[str, DataFrame], sweeps: int) -> DataFrame:
     raked = cells.withColumn("weight", F.col("tokens").cast("double"))
     for c in MARGINS:
         raked = raked.join(aims[c], c, "left")
-    raked = stored(raked.fillna(0.0, [f"aim_{c}" for c in MARGINS]), "cells")
-    done, before = 0, float("inf")
-    while True:
-        for sweep in range(sweeps if not done else min(SWEEPS, MOST_SWEEPS - done)):
-            if sweep and sweep % SWEEPS == 0:  # a longer chain of windows makes too deep a plan
-                raked = stored(raked, "cells")
-            for c in MARGINS:
-                now = F.sum("weight").over(Window.partitionBy(c))
-                raked = raked.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"aim_{c}") / now).otherwise(0.0))
-            done += 1
-        raked = stored(raked, "raked-cells")
-        worst = _worst(residuals(raked, aims))
-        off = worst["off"] if worst else 0.0
-        if off <= tolerance or off > before * 0.999 or done >= MOST_SWEEPS or not done:
-            break
-        before = off
-    _warn_if_off(residuals(raked, aims), tolerance, f"raking ended after {done} sweeps")
+    raked = raked.fillna(0.0, [f"aim_{c}" for c in MARGINS])
+    few = cells.count() <= MAX_CELLS
+    for sweep in range(sweeps):
+        if sweep % WRITTEN_SWEEPS == 0:
+            raked = stored(raked, "cells")
+            raked = raked.coalesce(1) if few else raked  # so many rows need no shuffle between margins
+        for c in MARGINS:
+            now = F.sum("weight").over(Window.partitionBy(c))
+            raked = raked.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"aim_{c}") / now).otherwise(0.0))
+    raked = stored(raked, "raked-cells")
+    _warn_if_off(residuals(raked, aims), TOLERANCE, f"after {sweeps} sweeps of raking")
     return raked.select(*MARGINS, "tokens", "weight")
 
 
 def sampling_rate(raked: DataFrame, token_budget: float | None = None, token_share: float | None = None) -> float:
     """What a cell's weight per token is multiplied by, to be its probability where that is under 1.
 
-    The expected tokens are ``token_budget``, or ``token_share`` of those in cells with a weight: cells whose
-    probability would exceed 1 are kept whole and the others share the rest by their weights. With neither, the largest
-    probability of cells that are not RARE is 1, or LEAST_SHARE holds where that would keep less.
+    The expected tokens are ``token_budget``, or ``token_share`` (TOKEN_SHARE unless stated) of those in cells with a
+    weight, or the fewer where both are given: cells whose probability would exceed 1 are kept whole and the others share
+    the rest by their weights. So one rare cell, whatever its weight per token, changes little.
     """
     per_token = F.col("weight") / F.col("tokens")
-    open_cells = raked.where("weight > 0")
-    total, tokens = open_cells.agg(F.sum("weight"), F.sum("tokens")).first()
+    total, tokens = raked.where("weight > 0").agg(F.sum("weight"), F.sum("tokens")).first()
     if not total:
         return 0.0
     if token_budget is None and token_share is None:
-        top = open_cells.agg(F.coalesce(F.max(F.when(F.col("tokens") >= RARE * tokens, per_token)), F.max(per_token))).first()[0]
-        chance = F.least(F.lit(1.0), per_token / F.lit(top))
-        if open_cells.agg(F.sum(F.col("tokens") * chance)).first()[0] >= LEAST_SHARE * tokens:
-            return 1.0 / top
-        token_share = LEAST_SHARE
+        token_share = TOKEN_SHARE
     wanted = min(x for x in (token_budget, None if token_share is None else token_share * tokens) if x is not None)
     rate = wanted / total
     while True:  # rises to the rate at which nothing more is capped
@@ -185,7 +173,7 @@ def mixed(
     keyed = _keyed(docs)
     cells = stored(keyed.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cell-tokens")
     aims = _aims(cells, targets, temper)
-    raked = _raked(cells, aims, sweeps, TOLERANCE)
+    raked = _raked(cells, aims, sweeps)
     rate = sampling_rate(raked, token_budget, token_share)
     chance = F.least(F.lit(1.0), F.col("weight") / F.col("tokens") * F.lit(rate))
     odds = raked.select(*MARGINS, "tokens", chance.alias("probability"))
@@ -217,7 +205,7 @@ def _oracle() -> str:
     parts = [
         f"""keyed AS (
   SELECT *, CASE WHEN tokens < {SHORT} THEN 'short' WHEN tokens < {LONG} THEN 'medium' ELSE 'long' END AS topic
-  FROM (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+  FROM (SELECT doc_id, source AS own_source, lang AS own_lang, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
                greatest(1, len(regexp_extract_all(coalesce(text, ''), '{word}'))) AS tokens FROM documents)),
 cells AS (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM keyed GROUP BY ALL)""",
     ]
@@ -236,9 +224,15 @@ cells AS (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM keyed G
             )
     return (
         "WITH " + ",\n".join(parts) + f""",
-odds AS (SELECT source, lang, topic,
-                least(1.0, weight / tokens / (SELECT max(weight / tokens) FROM w{n})) AS p FROM w{n})
-SELECT k.doc_id, k.source, k.lang, k.topic, k.tokens, round(p, 9) AS probability,
+placed AS (
+  SELECT *, weight / tokens AS per_token, row_number() OVER before AS place, {TOKEN_SHARE} * sum(tokens) FILTER (WHERE weight > 0) OVER () AS wanted,
+         coalesce(sum(tokens) OVER before, 0) AS whole, sum(weight) OVER after AS rest
+  FROM w{n}
+  WINDOW before AS (ORDER BY weight / tokens DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         after AS (ORDER BY weight / tokens DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+rate AS (SELECT arg_min((wanted - whole) / rest, place) AS rate FROM placed WHERE weight > 0 AND per_token * (wanted - whole) / rest < 1),
+odds AS (SELECT source, lang, topic, least(1.0, weight / tokens * rate) AS p FROM w{n}, rate)
+SELECT k.doc_id, k.own_source AS source, k.own_lang AS lang, k.topic, k.tokens, round(p, 9) AS probability,
        ('0x' || substr(md5(k.doc_id::VARCHAR || ':{SEED}'), 1, 13))::BIGINT / {float(1 << 52)!r} < p AS kept
 FROM keyed k JOIN odds USING (source, lang, topic)"""
     )
