@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import with_clean_text
-from tidemark.operators import clustering, retrieval, topics
+from tidemark.operators import clustering, density, retrieval, topics
 from tidemark.plans import training, triage
 from tidemark.plans.catalog import learning, sql
 from tidemark.plans.catalog.rules import _BOARD
@@ -59,9 +59,44 @@ def kmeans_topics(spark, sf):
                            F.array_join("top_terms", "|").alias("top_terms"))
 
 
+@query("g2_density_topics")
+def density_topics(spark, sf):
+    """Topics that are dense groups of the topic space; the rest is noise."""
+    n = space(spark, sf).n_rows
+    size, samples = density.group_sizes(n, density.MIN_CLUSTER_SIZE, density.MIN_SAMPLES)
+    m = clustering.TopicModel.fit(corpus(spark, sf), space=space(spark, sf), method="density",
+                                  min_cluster_size=size, min_samples=samples)
+    return m.topics.select("cluster_id", "size", "prevalence_pct", "coherence", "dominant_category",
+                           F.array_join("top_terms", "|").alias("top_terms"))
+
+
+_GROUP = {"size": 4, "samples": 4, "least": 0.34}
+
+
+@query(
+    "g2_density_groups",
+    f"""WITH RECURSIVE u AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v,
+        sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings),
+      near AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b
+        ON round(list_dot_product(a.v, b.v) / (a.n * b.n), 9) >= {_GROUP['least']}::DOUBLE),
+      core AS MATERIALIZED (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {_GROUP['samples']}),
+      links AS MATERIALIZED (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+      reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+      roots AS (SELECT a AS vec_id, min(b) AS root FROM reach GROUP BY a),
+      sizes AS (SELECT root, count(*) AS size FROM roots GROUP BY root HAVING count(*) >= {_GROUP['size']}),
+      numbered AS (SELECT root, row_number() OVER (ORDER BY size DESC, root) - 1 AS cluster_id FROM sizes)
+      SELECT e.vec_id, coalesce(cluster_id, -1)::INTEGER AS cluster_id FROM embeddings e
+      LEFT JOIN roots USING (vec_id) LEFT JOIN numbered USING (root)""",
+)
+def density_groups(spark, sf):
+    """Dense groups of the given vectors."""
+    rows = intake.table(spark, sf, "embeddings")
+    return density.density_labels(rows, _GROUP["size"], _GROUP["samples"], _GROUP["least"], "vec_id")
+
+
 @query("g13_configuration_sweep")
 def configuration_sweep(spark, sf):
-    """Quality of the k-means configurations and which one to use."""
+    """Quality of the density and k-means configurations and which one to use."""
     rows, _ = clustering.sweep(corpus(spark, sf))
     choice = clustering.recommend(rows)
     return rows.select(
@@ -255,7 +290,8 @@ def window_surges(spark, sf):
       l AS (SELECT v.*, coalesce(bv, 0) AS bv, sum(v.volume) OVER (PARTITION BY v.window_start) AS total,
           (SELECT sum(bv) FROM base b WHERE b.window_start = v.window_start) AS bt
         FROM v LEFT JOIN base b ON b.window_start = v.window_start AND b.theme = v.theme),
-      g AS (SELECT *, greatest(bv * total::DOUBLE / bt, 0.5) AS expected FROM l WHERE bt > 0)
+      g AS (SELECT *, greatest(bv * total::DOUBLE / greatest(coalesce(bt, 0), 1), 0.5) AS expected FROM l
+        WHERE window_start > (SELECT min(window_start) FROM v))
       SELECT strftime(window_start, '%Y-%m-%d') AS week, theme, volume AS recent_volume, bv AS baseline_volume,
         round((volume - expected) / expected, 6) AS growth_rate
       FROM g WHERE volume >= 10 AND (volume - expected) / expected >= 0.01""",
