@@ -78,9 +78,38 @@ def test_blocks_of_queries_give_the_same_answer(spark, corpus, monkeypatch):
     monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", 2)
     monkeypatch.setattr(retrieval, "VALUES_AT_ONCE", 7)
     assert sorted(map(tuple, index.query(asked, 3).collect())) == one
-    monkeypatch.setattr(ranking.in_chunks, "__defaults__", (2,))
-    monkeypatch.setattr(retrieval, "QUERIES_PER_SCAN", 2)
-    assert sorted(map(tuple, index.query(asked, 3).collect())) == one
+    for name, size in (("SEGMENT_ROWS", 4), ("SEGMENTS_AT_ONCE", 2), ("QUERIES_A_VISIT", 2)):
+        monkeypatch.setattr(retrieval, name, size)
+    small = retrieval.TfidfIndex(index.model, index.vectors)
+    assert small.segments.count() >= 30 / 4
+    assert sorted(map(tuple, small.query(asked, 3).collect())) == one
+
+
+def test_segments_below_the_kth_score_are_not_visited(spark, monkeypatch):
+    topic = lambda i: " ".join(f"{'abcdefgh'[i % 8]}word{(i * 7 + j) % 23}" for j in range(6))
+    rows = [(i, topic(i // 40), "x") for i in range(320)]
+    cases = spark.createDataFrame(rows, "doc_id bigint, narrative string, category string").coalesce(1)
+    monkeypatch.setattr(retrieval, "SEGMENT_ROWS", 40)
+    index = retrieval.TfidfIndex.build(cases.orderBy("doc_id").coalesce(1))
+    asked = spark.createDataFrame([(i, topic(i)) for i in range(8)], "query_id bigint, query string")
+    visits = []
+    visited = retrieval.TfidfIndex._visited
+    monkeypatch.setattr(retrieval.TfidfIndex, "_visited", lambda self, dealt, to, k: visits.append(to) or visited(self, dealt, to, k))
+    got = index.query(asked, 5, fill=False).collect()
+    assert all(r["doc_id"] // 40 == r["query_id"] for r in got) and len(got) == 40
+    assert visits[0].count() == 8 and visits[1].count() == 0
+
+
+def test_queries_stay_off_the_driver(spark, corpus, monkeypatch):
+    index = retrieval.TfidfIndex.build(corpus)
+    asked = spark.range(3000).selectExpr("id as query_id", "concat('card purchase number', id % 7) as query")
+    index.segments
+    frame, brought = type(asked), []
+    for name in ("collect", "toLocalIterator", "toPandas", "toArrow"):
+        monkeypatch.setattr(frame, name, lambda self, *a, f=getattr(frame, name), **b: brought.append(1) or f(self, *a, **b))
+    found = index.query(asked, 2)
+    assert not brought
+    assert found.groupBy("query_id").count().filter("count = 2").count() == 3000
 
 
 def test_evaluation_and_saved_index(spark, corpus, tmp_path):

@@ -179,14 +179,34 @@ def engine_choice(spark, sf):
 @query("k23_full_triage")
 def full_triage(spark, sf):
     """Test narratives and all unlabelled ones, judged with models fitted on the training part."""
+    arriving, models = _arriving(spark, sf)
+    out = triage.analyze(arriving, **models)
+    return out.select("doc_id", F.to_json(F.struct(*triage.PAYLOAD)).alias("payload"))
+
+
+def _arriving(spark, sf):
     known = learning.rows(spark, sf)
     history = training.part(known, "train").withColumnRenamed("text", "narrative")
-    index = retrieval.TfidfIndex.build(history)
     everything = intake.complaints(spark, sf)
-    arriving = everything.join(history.select("doc_id"), "doc_id", "left_anti")
-    out = triage.analyze(arriving, learning.trained(spark, sf), index, history,
-                         kmeans_model(spark, sf))
-    return out.select("doc_id", F.to_json(F.struct(*triage.PAYLOAD)).alias("payload"))
+    arriving = everything.join(history.select("doc_id"), "doc_id", "left_anti").select("doc_id", "narrative")
+    return arriving, {
+        "classifier": learning.trained(spark, sf), "index": retrieval.TfidfIndex.build(history),
+        "cases": history, "topic_model": kmeans_model(spark, sf),
+    }
+
+
+@query("k23_triage_stream")
+def full_triage_stream(spark, sf):
+    """The same narratives arriving as files, judged by a stream with the same models."""
+    arriving, models = _arriving(spark, sf)
+    path, arrivals, out = (scratch_path(spark, n) for n in ("narratives", "arrivals", "judged"))
+    arriving.write.parquet(path)
+    narratives = spark.readStream.schema(arriving.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    stream.full_triage_stream(narratives, arrivals, out, **models).option(
+        "checkpointLocation", scratch_path(spark, "judged-state")).trigger(
+        availableNow=True).start().awaitTermination()
+    judged = spark.read.option("basePath", out).parquet(out)
+    return judged.select("doc_id", F.to_json(F.struct(*triage.PAYLOAD)).alias("payload"))
 
 
 # --- streams ---------------------------------------------------------------
@@ -213,18 +233,27 @@ def triage_stream(spark, sf):
         "doc_id", "in_domain", "category", "severity_level", "target_queue", "sla_hours"))
 
 
+EVENT_PARTS = 6
+
+
 def theme_events(spark, sf):
-    """Events as a stream of themes, written in six parts of rising time, one after the other:
-    a stream takes files in the order they were written."""
-    path = scratch_path(spark, "events")
+    """Events as a stream of themes, in six parts of rising time, and the files of a part.
+
+    A stream takes files in the order they were written, so parts are written one after the other; each is
+    spread over as many files as the table has partitions, read together by one batch. Events without a time come first.
+    """
+    path, sorted_out = scratch_path(spark, "events"), scratch_path(spark, "events-by-time")
     e = intake.table(spark, sf, "events").select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("theme"))
     at = F.unix_micros("ts")
-    cuts = e.select(at.alias("at")).approxQuantile("at", [i / 6 for i in range(1, 6)], 0.01)
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        part = e.filter((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
+    cuts = e.select(at.alias("at")).approxQuantile("at", [i / EVENT_PARTS for i in range(1, EVENT_PARTS)], 0.01)
+    part = sum((F.coalesce(at > cut, F.lit(False)).cast("int") for cut in cuts), F.lit(0))
+    e.withColumn("part", part).write.partitionBy("part").parquet(sorted_out)
+    files = max(1, e.rdd.getNumPartitions())
+    by_time = spark.read.parquet(sorted_out)
+    for i in range(EVENT_PARTS):
+        by_time.filter(F.col("part") == i).drop("part").repartition(files).write.mode("append").parquet(path)
+    return path, files
 
 
 _WIN = "time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01')"
@@ -242,7 +271,7 @@ def _day(c):
 )
 def weekly_theme_stream(spark, sf):
     """Weekly volumes of all windows that the watermark has closed."""
-    events = stream.read_files(spark, theme_events(spark, sf), stream.THEMES)
+    events = stream.read_files(spark, theme_events(spark, sf)[0], stream.THEMES)
     return stream.run_to_end(stream.theme_volumes(events)).select(
         _day("window_start").alias("week"), "theme", "volume")
 
@@ -282,8 +311,7 @@ def window_surges(spark, sf):
     return s.withColumn("week", _day("window_start")).drop("window_start")
 
 
-@query(
-    "r3_baseline_surges",
+_BASELINE = (
     _VOL + """, base AS (SELECT w.window_start, e.event_type AS theme, count(*) AS bv
         FROM (SELECT DISTINCT window_start FROM v) w JOIN events e
           ON e.ts < w.window_start AND e.ts >= w.window_start - INTERVAL '30 days' GROUP BY ALL),
@@ -294,8 +322,10 @@ def window_surges(spark, sf):
         WHERE window_start > (SELECT min(window_start) FROM v))
       SELECT strftime(window_start, '%Y-%m-%d') AS week, theme, volume AS recent_volume, bv AS baseline_volume,
         round((volume - expected) / expected, 6) AS growth_rate
-      FROM g WHERE volume >= 10 AND (volume - expected) / expected >= 0.01""",
-)
+      FROM g WHERE volume >= 10 AND (volume - expected) / expected >= 0.01""")
+
+
+@query("r3_baseline_surges", _BASELINE)
 def baseline_surges(spark, sf):
     """Themes growing in a week over the thirty days before it."""
     e = intake.table(spark, sf, "events").select("ts", F.col("event_type").alias("theme"))
@@ -303,11 +333,29 @@ def baseline_surges(spark, sf):
     return s.withColumn("week", _day("window_start")).drop("window_start")
 
 
+def _in_parts(spark, sf):
+    """Path, schema and files of a batch for a stream that takes one part of the events after the other."""
+    path, files = theme_events(spark, sf)
+    return path, stream.THEMES, files
+
+
+@query("r3_baseline_stream", _BASELINE + f" AND {_CLOSED.removeprefix('WHERE ')}")
+def baseline_stream(spark, sf):
+    """The same comparison made by a stream with state, as weeks close."""
+    weeks, alerts = scratch_path(spark, "baseline-weeks"), scratch_path(spark, "baseline-alerts")
+    stream.baseline_surge_stream(
+        stream.read_files(spark, *_in_parts(spark, sf)), weeks, alerts, growth_threshold=0.01
+    ).option("checkpointLocation", scratch_path(spark, "baseline-state")).trigger(
+        availableNow=True).start().awaitTermination()
+    found = spark.read.option("basePath", alerts).parquet(alerts)
+    return found.select(_day("window_start").alias("week"), "theme", "recent_volume", "baseline_volume", "growth_rate")
+
+
 @query("r4_surge_stream", _VOL.replace("FROM events GROUP BY ALL", f"FROM events GROUP BY ALL), v AS (SELECT * FROM w0 {_CLOSED}").replace("WITH v AS", "WITH w0 AS") + _SURGES)
 def surge_stream(spark, sf):
     """The same comparison made by a stream as weeks close."""
     history, alerts = scratch_path(spark, "weeks"), scratch_path(spark, "alerts")
-    events = stream.read_files(spark, theme_events(spark, sf), stream.THEMES, 1)
+    events = stream.read_files(spark, *_in_parts(spark, sf))
     stream.surge_stream(events, history, alerts, growth_threshold=0.01).option(
         "checkpointLocation", scratch_path(spark, "surge-state")
     ).trigger(availableNow=True).start().awaitTermination()
@@ -319,7 +367,7 @@ def surge_stream(spark, sf):
 @query("r6_resubmissions_dropped", "SELECT count(*) AS events, count(DISTINCT event_id) AS ids FROM events")
 def resubmissions_dropped(spark, sf):
     """Every event sent twice is kept once."""
-    path = theme_events(spark, sf)
+    path, _ = theme_events(spark, sf)
     sent = stream.read_files(spark, path, stream.THEMES)
     twice = sent.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     kept = stream.run_to_end(stream.drop_resubmissions(twice))
