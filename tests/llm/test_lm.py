@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -91,3 +92,40 @@ def test_odd_rows_and_clashing_columns(spark):
     untrained = lm.scored(df, F.lit(False)).collect()
     assert all(r["n_known"] == 0 and r["score"] == 0.0 for r in untrained)
     assert lm.scored(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
+
+
+def test_levels_of_ranges_change_nothing(spark, sf, monkeypatch):
+    docs = sample(spark, sf).where("doc_id < 60")
+    training = F.col("doc_id") % 5 != 0
+    show = lambda df: sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in df.collect())
+    want = show(lm.scored(docs, training))
+    monkeypatch.setattr(lm, "MIN_RANGES", 20)
+    monkeypatch.setattr(lm, "FAN_OUT", 3)
+    assert lm._levels(20) == [3, 3, 3]
+    assert show(lm.scored(docs, training, 500)) == want
+
+
+def test_requests_grow_in_proportion(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(4000)]
+    for name, size in (("MIN_RANGES", 1), ("RANGE_TOKENS", 20), ("FAN_OUT", 4)):
+        monkeypatch.setattr(lm, name, size)
+
+    def requests(n, chunk_tokens):
+        docs = documents(spark, [(i, " ".join(rng.choices(words, k=40)), "en", "a") for i in range(n)]).repartition(2)
+        made, counted, chunks = lm.stored, [], []
+
+        def keep(df, name):
+            out = made(df, name)
+            if name in ("requests", "token-chunks"):
+                (counted if name == "requests" else chunks).append(out.count())
+            return out
+
+        monkeypatch.setattr(lm, "stored", keep)
+        lm.scored(docs, F.lit(True), chunk_tokens).count()
+        monkeypatch.setattr(lm, "stored", made)
+        return chunks[0], counted
+
+    for n, chunk_tokens in ((100, 100), (200, 100), (400, 100), (100, 25)):
+        chunks, rows = requests(n, chunk_tokens)
+        assert len(rows) >= 3 and max(rows) <= 2 * lm.FAN_OUT * chunks, (n, chunk_tokens, chunks, rows)

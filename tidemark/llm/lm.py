@@ -2,7 +2,9 @@
 
 Texts are read once, into chunks of tokens. Each chunk asks for the counts of its distinct words and word pairs
 in sorted blocks, one per range of hash values; a range adds up what all chunks report and answers each of them
-in the order of its request. No row per token is ever shuffled. The mixture weights of each bucket of context
+in the order of its request. Where the corpus needs more ranges than a request is cut into, chunks are joined to sets
+whose blocks are added up and cut again, level by level, so that requests grow with the corpus and not with
+its square; answers go down the same way. No row per token is ever shuffled. The mixture weights of each bucket of context
 frequency are learnt by expectation-maximisation on held-out training documents, against counts that leave
 these out; what they gather is a table of fixed size.
 """
@@ -27,6 +29,9 @@ CHUNK_TOKENS = 1_000_000
 RANGE_TOKENS = 2_000_000
 MIN_RANGES = 64
 
+#: Ranges that a block is cut into, and about the most chunks or sets whose blocks are added up before the next cut.
+FAN_OUT = 256
+
 #: One training document in so many teaches the mixture weights.
 FOLD = 20
 
@@ -123,69 +128,144 @@ def _opened(chunk: dict) -> dict:
     return {"words": words, "at": at, "first": first, "starts": ends - sizes, "pairs": pairs, "pair_at": pair_at, "counted": counted}
 
 
+_BLOCKS = ("words", "pairs", "word_counts", "pair_counts", "word_later", "pair_later")
+_REQUEST = pa.schema([("asker", pa.int64()), ("range", pa.int64()), ("fold", pa.bool_()), *((c, pa.binary()) for c in _BLOCKS)])
+_REQUEST_DDL = f"asker long, range long, fold boolean, {', '.join(f'{c} binary' for c in _BLOCKS)}"
+
+
+def _marks(first: int, n: int, of: int) -> np.ndarray:
+    """Where ``n`` ranges from ``first`` on begin, of ``of`` equal ranges of hash values."""
+    return np.array([((first + i) << 64) // of for i in range(n)], np.uint64)
+
+
+def _cut(asker: int, fold: bool, first: int, marks: np.ndarray, words: tuple, pairs: tuple) -> pa.RecordBatch:
+    """A request for each range that holds any of the sorted ``words`` or ``pairs`` (keys, counts, later counts or None)."""
+    rows = []
+    cuts = [np.append(np.searchsorted(keys, marks), len(keys)).tolist() for keys, _, _ in (words, pairs)]
+    for i in range(len(marks)):
+        row = {"asker": asker, "range": first + i, "fold": fold}
+        for name, (keys, counts, later), at in zip(("word", "pair"), (words, pairs), cuts, strict=True):
+            part = slice(at[i], at[i + 1])
+            row |= {f"{name}s": pack_sorted(keys[part]), f"{name}_counts": pack(counts[part])}
+            row[f"{name}_later"] = None if later is None else pack(later[part])
+        if any(at[i + 1] > at[i] for at in cuts):
+            rows.append(row)
+    return pa.RecordBatch.from_pylist(rows, schema=_REQUEST)
+
+
 def _requests(chunks: DataFrame, ranges: int) -> DataFrame:
     """A row per chunk and range with the words and pairs there, and how often the training tokens have them."""
-    marks = np.array([(i << 64) // ranges for i in range(ranges)], np.uint64)
+    marks = _marks(0, ranges, ranges)
 
     def run(batches):
         for batch in batches:
             for chunk in batch.to_pylist():
                 own = _opened(chunk)
-                kinds = []
-                for keys, at in ((own["words"], own["at"]), (own["pairs"], own["pair_at"])):
-                    counts = np.bincount(at[own["counted"]], minlength=len(keys))
-                    cuts = np.append(np.searchsorted(keys, marks), len(keys)).tolist()
-                    kinds.append((keys, counts, cuts))
-                blobs = [
-                    [pack_sorted(keys[a:b]) if kind < 2 else pack(counts[a:b])
-                     for a, b in zip(cuts, cuts[1:], strict=False)]
-                    for kind in (0, 2) for keys, counts, cuts in kinds
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(ranges, dtype=np.int32)), pa.array([chunk["chunk"]] * ranges, pa.int64()),
-                     pa.array([chunk["fold"]] * ranges), *(pa.array(b, pa.binary()) for b in blobs)],
-                    names=["range", "chunk", "fold", "words", "pairs", "word_counts", "pair_counts"],
+                kinds = (
+                    (keys, np.bincount(at[own["counted"]], minlength=len(keys)), None)
+                    for keys, at in ((own["words"], own["at"]), (own["pairs"], own["pair_at"]))
                 )
-
-    return chunks.mapInArrow(
-        run, "range int, chunk long, fold boolean, words binary, pairs binary, word_counts binary, pair_counts binary"
+                yield _cut(chunk["chunk"], chunk["fold"], 0, marks, *kinds)
+
+    return chunks.mapInArrow(run, _REQUEST_DDL)
+
+
+def _summed(table: pa.Table, name: str) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """The distinct keys of some requests, where each request has its own, their total and their held-out counts."""
+    keys = [unpack_sorted(b) for b in table[f"{name}s"].to_pylist()]
+    counts = [unpack(b).astype(np.int64) for b in table[f"{name}_counts"].to_pylist()]
+    later = [
+        unpack(b).astype(np.int64) if b is not None else own if fold else np.zeros_like(own)
+        for b, own, fold in zip(table[f"{name}_later"].to_pylist(), counts, table["fold"].to_pylist(), strict=True)
+    ]
+    every, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total, apart = (
+        np.bincount(place, weights=np.concatenate(x), minlength=len(every)).astype(np.int64) for x in (counts, later)
     )
+    edges = np.append(0, np.cumsum(list(map(len, keys))))
+    return every, [place[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], total, apart
+
+
+def _merged(width: int, cuts: int):
+    """Adds up the requests of a set of askers for one of ``width`` ranges and cuts them into ``cuts`` finer ones."""
+
+    def run(key, table):
+        asker, first = key[0].as_py(), key[1].as_py() * cuts
+        kinds = ((every, total, apart) for every, _, total, apart in (_summed(table, n) for n in ("word", "pair")))
+        return pa.Table.from_batches([_cut(asker, True, first, _marks(first, cuts, width * cuts), *kinds)], _REQUEST)
+
+    return run
 
 
 def _answered(table: pa.Table) -> pa.Table:
-    """Total counts and held-out counts of one range, for every chunk in the order of its request."""
+    """Total counts and held-out counts of one range, for every asker in the order of its request."""
     n = table.num_rows
-    fold = np.array(table["fold"].to_pylist(), bool)
-    out = {"chunk": table["chunk"].to_pylist(), "range": table["range"].to_pylist(), "fold": table["fold"].to_pylist()}
-    tokens = [0] * n
-    kinds = [0] * n
+    out = {c: table[c].to_pylist() for c in ("asker", "range", "fold")}
+    tokens, kinds = [0] * n, [0] * n
     for name in ("word", "pair"):
-        keys = [unpack_sorted(b) for b in table[f"{name}s"].to_pylist()]
-        counts = np.concatenate([unpack(b) for b in table[f"{name}_counts"].to_pylist()]).astype(np.int64)
-        sizes = np.array(list(map(len, keys)))
-        every, place = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(place, weights=counts, minlength=len(every)).astype(np.int64)
-        later = counts * np.repeat(fold, sizes)
-        apart = np.bincount(place, weights=later, minlength=len(every)).astype(np.int64)
+        _, spans, total, apart = _summed(table, name)
         if name == "word":
             tokens[0], kinds[0] = int(total.sum()), int((total > 0).sum())
-        edges = np.append(0, np.cumsum(sizes))
-        spans = [place[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        out[f"{name}_total"] = [pack(total[s]) for s in spans]
-        out[f"{name}_apart"] = [pack(apart[s]) if f else None for s, f in zip(spans, fold, strict=True)]
+        out |= _handed(name, out["fold"], spans, total, apart)
     return pa.table(out | {"tokens": tokens, "kinds": kinds}, schema=_ANSWER)
 
 
+def _handed(name: str, folds: list, spans: list, total: np.ndarray, apart: np.ndarray) -> dict:
+    return {
+        f"{name}_total": [pack(total[s]) for s in spans],
+        f"{name}_apart": [pack(apart[s]) if f else None for s, f in zip(spans, folds, strict=True)],
+    }
+
+
+def _handed_down(key, requests: pa.Table, answers: pa.Table) -> pa.Table:
+    """What a set of askers was answered, for each of them in the order of its request."""
+    if not requests.num_rows:
+        return _ANSWER.empty_table()
+    out = {c: requests[c].to_pylist() for c in ("asker", "range", "fold")}
+    for name in ("word", "pair"):
+        _, spans, _, _ = _summed(requests, name)
+        out |= _handed(name, out["fold"], spans, _counts(answers, f"{name}_total"), _counts(answers, f"{name}_apart"))
+    none = [0] * requests.num_rows
+    return pa.table(out | {"tokens": none, "kinds": none}, schema=_ANSWER)
+
+
 _ANSWER = pa.schema([
-    ("chunk", pa.int64()), ("range", pa.int32()), ("fold", pa.bool_()), ("word_total", pa.binary()), ("word_apart", pa.binary()),
+    ("asker", pa.int64()), ("range", pa.int64()), ("fold", pa.bool_()), ("word_total", pa.binary()), ("word_apart", pa.binary()),
     ("pair_total", pa.binary()), ("pair_apart", pa.binary()), ("tokens", pa.int64()), ("kinds", pa.int64()),
 ])
 _ANSWER_DDL = (
-    "chunk long, range int, fold boolean, word_total binary, word_apart binary, pair_total binary, pair_apart binary,"
+    "asker long, range long, fold boolean, word_total binary, word_apart binary, pair_total binary, pair_apart binary,"
     " tokens long, kinds long"
 )
 
 
+def _levels(ranges: int) -> list[int]:
+    """Into how many parts blocks are cut at each level, to end with ``ranges`` ranges or a few more."""
+    cuts = [min(ranges, FAN_OUT)]
+    while (width := int(np.prod(cuts, dtype=object))) < ranges:
+        cuts.append(min(FAN_OUT, -(-ranges // width)))
+    return cuts
+
+
+def _exchanged(chunks: DataFrame, ranges: int) -> tuple[DataFrame, int, int]:
+    """The answers to all chunks, and the number of training tokens and of their kinds."""
+    cuts = _levels(ranges)
+    levels, width, askers = [_requests(chunks, cuts[0])], cuts[0], None
+    for finer in cuts[1:]:
+        askers = max(1, -(-(chunks.count() if askers is None else askers) // finer))
+        below = stored(levels[-1].withColumn("set", F.pmod(F.xxhash64("asker"), F.lit(askers)).cast("long")), "requests")
+        levels[-1] = below
+        levels.append(below.groupBy("set", "range").applyInArrow(_merged(width, finer), _REQUEST_DDL))
+        width *= finer
+    answers = stored(levels[-1].groupBy("range").applyInArrow(_answered, _ANSWER_DDL), "answers")
+    n, v = answers.agg(F.sum("tokens"), F.sum("kinds")).first()
+    for below, finer in zip(reversed(levels[:-1]), reversed(cuts[1:]), strict=True):
+        up = answers.withColumn("above", F.floor(F.col("range") / finer))
+        down = below.groupBy("set", "range").cogroup(up.groupBy("asker", "above")).applyInArrow(_handed_down, _ANSWER_DDL)
+        answers = stored(down, "answers")
+    return answers.drop("tokens", "kinds").withColumnRenamed("asker", "chunk"), n or 0, v or 0
+
+
 def _counts(answers: pa.Table, column: str) -> np.ndarray:
     return np.concatenate([unpack(b) for b in answers.sort_by("range")[column].to_pylist()]).astype(np.int64)
 
@@ -264,11 +344,9 @@ def scored(docs: DataFrame, training: Column, chunk_tokens: int = CHUNK_TOKENS)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     ranges = max(MIN_RANGES, chars // (6 * RANGE_TOKENS))
     chunks = stored(_chunks(docs, training, chunk_tokens), "token-chunks")
-    answers = stored(_requests(chunks, ranges).groupBy("range").applyInArrow(_answered, _ANSWER_DDL), "answers")
-    n, v = answers.agg(F.sum("tokens"), F.sum("kinds")).first()
-    tokens, kinds = n or 0, v or 0
+    answers, tokens, kinds = _exchanged(chunks, ranges)
     of = lambda test: (
-        chunks.where(test).groupBy("chunk").cogroup(answers.where(test).drop("tokens", "kinds").groupBy("chunk"))
+        chunks.where(test).groupBy("chunk").cogroup(answers.where(test).groupBy("chunk"))
     )
     held = tokens - _fold_tokens(chunks)
     gathered = (
