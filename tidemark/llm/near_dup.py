@@ -33,6 +33,9 @@ MANTISSA = 10
 BLOCK = 256
 PAIRS_AT_ONCE = 50_000
 
+#: Tasks in which the members of one bucket meet its smallest member.
+BUCKET_PARTS = 16
+
 #: A candidate falls out if its estimate is so many standard errors below the threshold.
 SLACK = 4.5
 
@@ -259,7 +262,11 @@ def _class_components(docs: DataFrame, classes: DataFrame, width: int, percent:
         .agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size"))
         .where("size > 1")
     )
-    members = stored(bands.join(shared, "bucket").where("id <> first"), "bucket-members")
+    # Salted: a bucket of any size meets its smallest member in several tasks.
+    part = F.pmod(F.xxhash64("id"), F.lit(BUCKET_PARTS)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(BUCKET_PARTS - 1)))
+    met = bands.withColumn("part", part).join(shared.withColumn("part", every), ["bucket", "part"]).drop("part")
+    members = stored(met.where("id <> first"), "bucket-members")
     stars = members.select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
     stars = stored(_promising(stars, classes, percent), "stars")
     sets = _full_sets(docs, classes, stars.select(F.explode(F.array("a", "b")).alias("id")), width)
