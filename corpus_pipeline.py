@@ -1,6 +1,8 @@
 """From raw documents to a training mix: five stages, each written as a table and read by the next.
 
-Stages take any further columns along; one that has the name of a column that an operator makes is replaced.
+Stages take any further columns along; one that has the name of a column that an operator makes is replaced. Null and
+empty texts have no lines to drop, no shingles and no benchmark words, so only the classifier and the mix decide
+about them. Rows that repeat each other are near duplicates if they have a word: one stays. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -11,6 +13,10 @@ from tidemark.llm import common, decontaminate, line_dedup, mixing, near_dup, qu
 from tidemark.session import stored
 
 
+#: Parts into which the rows of one text are spread.
+TEXT_PARTS = 16
+
+
 def drop_poor_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the labels outside the held-out part."""
     model = quality.fit_known(docs, common.table(spark, sf_dir, "labels"))
@@ -32,9 +38,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     found = decontaminate.contamination(docs, common.table(spark, sf_dir, "benchmark"))
-    hit = found.where("n_hit > 0").select("k1", "k2")
+    hit = stored(found.where("n_hit > 0").select("k1", "k2"), "contaminated-texts")
     keyed = docs.select(common.others(docs, "text"), "text", *common.content_key("text"))
-    clean = keyed.join(hit, ["k1", "k2"], "left_anti")
+    # Salted: the rows of one text, however many, are spread over several tasks.
+    keyed = keyed.withColumn("part", F.pmod(F.xxhash64(F.col("rest")["doc_id"]), F.lit(TEXT_PARTS)))
+    every = hit.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TEXT_PARTS - 1).cast("long"))))
+    clean = keyed.join(every, ["k1", "k2", "part"], "left_anti")
     return clean.select(*common.restored(clean, docs, "text"))
 
 
