@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import lexicon, text as X
 from tidemark.operators import quality, retrieval, selection, topics, vectors
+from tidemark.operators.projections import ProjectionIndex
+from tidemark.operators.ranking import best
 from tidemark.plans.catalog import sql
 from tidemark.plans.catalog.retrieval import _STOPPED
 from tidemark.policy.labels import CATEGORIES
@@ -101,6 +103,41 @@ def dense_retrieval_quality(spark, sf):
     return retrieval.evaluate(found, q, corpus)
 
 
+#: Every row whose id it divides is a query of the approximate search.
+ASKED = 20
+
+
+def _others(found):
+    """The five best rows that are not the query's own."""
+    return best(found.filter("vec_id <> query_id").drop("rank"), 5, row_id="vec_id")
+
+
+def _asked(e):
+    return e.filter(F.col("vec_id") % ASKED == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query("j6_projection_search")
+def projection_search(spark, sf):
+    """Approximate nearest vectors of every twentieth row, its own left out."""
+    e = intake.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return _others(ProjectionIndex.build(e).query(_asked(e), 6))
+
+
+@query(
+    "j6_projection_recall",
+    f"""WITH n AS (SELECT count(*) AS n_rows, count(*) FILTER (vec_id % {ASKED} = 0) AS n_queries FROM embeddings)
+SELECT n_queries, n_queries * least(5, n_rows - 1) AS n_wanted, TRUE AS recall_reached FROM n""",
+)
+def projection_recall(spark, sf):
+    """The search above held against the exact one over all its queries: 0.9 of the wanted rows at least."""
+    e = intake.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    exact = _others(vectors.top_k_cosine(e, _asked(e), 6))
+    hits = exact.join(projection_search(spark, sf).select("query_id", "vec_id", F.lit(1).alias("hit")),
+                      ["query_id", "vec_id"], "left")
+    return hits.agg(F.count_distinct("query_id").alias("n_queries"), F.count("*").alias("n_wanted"),
+                    (F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"))
+
+
 @query(
     "g5_assign_to_centroids",
     sql.with_(_UNIT, "real_e AS (SELECT * FROM unit_e WHERE cluster_id <> -1)",
