@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.text import percent
-from tidemark.operators.vectors import group_means, l2_norm
+from tidemark.operators.sizing import broadcast_if_small
+from tidemark.operators.vectors import group_means, l2_norm, matrix
+from tidemark.session import stored
 
 NOISE = -1
+
+#: Centroids of a block; a task holds two.
+CENTROIDS_A_BLOCK = 1024
 PASSES = "Passes all quality checks: coherent clusters, controlled noise, distinct themes."
 NO_CLUSTERS = "No valid clusters formed; all points classified as noise."
 
@@ -63,32 +70,49 @@ def pairwise_coherence(df: DataFrame, label: str = "cluster_id", vec: str = "emb
         label, "size", ((square - n) / (n * (n - 1))).alias("pairwise_coherence"))
 
 
-def davies_bouldin(df: DataFrame, label: str = "cluster_id", vec: str = "embedding") -> DataFrame:
-    """Mean over clusters of the worst ratio of scatter to centroid distance.
+def davies_bouldin(df: DataFrame, label: str = "cluster_id", vec: str = "embedding",
+                   block: int = CENTROIDS_A_BLOCK) -> DataFrame:
+    """Mean over clusters of the worst ratio of scatter to centroid distance; null below two clusters.
 
-    Distances are Euclidean. Centroids are brought together as one array, one
-    entry per cluster, and compared in place.
+    Distances are Euclidean. Centroids are dealt to blocks by hash; a task compares two blocks, and a cluster's
+    worst ratio of each is all that leaves it. Centroids in one place count as no ratio.
     """
     valid = df.filter(F.col(label) != NOISE).select(label, F.col(vec).cast("array<double>").alias("_v"))
-    means = group_means(valid, label, "_v", unit=False).select(label, "centroid")
-
-    def distance(a, b):
-        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0),
+    means = stored(group_means(valid, label, "_v", unit=False).select(label, "centroid"), "centroids")
+    distance = F.sqrt(F.aggregate(F.zip_with("_v", "centroid", lambda x, y: (x - y) * (x - y)), F.lit(0.0),
                                   lambda s, x: s + x))
-
     scatter = (
-        valid.join(F.broadcast(means), label).withColumn("_d", distance("_v", "centroid"))
+        valid.join(broadcast_if_small(means), label).withColumn("_d", distance)
         .groupBy(label).agg(F.avg("_d").alias("scatter"))
     )
-    parts = scatter.join(means, label).agg(
-        F.collect_list(F.struct(F.col(label).alias("id"), "scatter", "centroid")).alias("all"))
-    worst = F.transform("all", lambda a: F.array_max(F.transform(
-        F.filter("all", lambda b: b["id"] != a["id"]),
-        lambda b: F.try_divide(a["scatter"] + b["scatter"], distance(a["centroid"], b["centroid"])))))
-    return parts.withColumn("_w", worst).select(
-        F.when(F.size("all") > 1, F.aggregate(
-            "_w", F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))) / F.size("all"))
-        .alias("davies_bouldin"))
+    blocks = max(1, -(-means.count() // block))
+    dealt = scatter.join(means, label).select(
+        F.col(label).cast("bigint").alias("id"), "scatter", "centroid",
+        F.pmod(F.xxhash64(label), F.lit(blocks)).cast("int").alias("own"))
+    # Each block meets every block once: pairs (a, b) with a <= b.
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
+        F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "scatter", "centroid")
+    worst = met.groupBy("a", "b").applyInArrow(_worst_ratios, "id bigint, worst double")
+    per_cluster = worst.groupBy("id").agg(F.coalesce(F.max("worst"), F.lit(0.0)).alias("worst"))
+    return per_cluster.agg(F.when(F.count("*") > 1, F.avg("worst")).alias("davies_bouldin"))
+
+
+def _worst_ratios(key: tuple, table: pa.Table) -> pa.Table:
+    """The worst ratio of each cluster of two blocks among those of the other, or of its own if they are one."""
+    ids, scatter = (table[c].to_numpy() for c in ("id", "scatter"))
+    own = table["own"].to_numpy()
+    centroids = matrix(table["centroid"].combine_chunks())
+    first, second = np.flatnonzero(own == key[0].as_py()), np.flatnonzero(own == key[1].as_py())
+    worst = np.full(len(ids), np.nan)
+    for at in first:
+        others = second[second != at]
+        gaps = centroids[others] - centroids[at]
+        apart = np.sqrt((gaps * gaps).sum(axis=1))
+        others, apart = others[apart > 0], apart[apart > 0]
+        ratios = (scatter[others] + scatter[at]) / apart
+        worst[at] = np.fmax(worst[at], ratios.max(initial=-np.inf)) if len(ratios) else worst[at]
+        worst[others] = np.fmax(worst[others], ratios)
+    return pa.table({"id": pa.array(ids), "worst": pa.array(worst, mask=np.isnan(worst))})
 
 
 def silhouette(df: DataFrame, label: str = "cluster_id", vec: str = "embedding") -> float | None:
