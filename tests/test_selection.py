@@ -66,3 +66,38 @@ def test_dates_before_1970_and_missing_times_come_first(spark):
     for ratio, early in ((0.75, {3}), (0.55, {3, -4}), (0.35, {3, -4, 1}), (0.15, {3, -4, 1, 2})):
         out = selection.chronological_split(df, ratio).collect()
         assert {r["doc_id"] for r in out if r["period"] == "baseline"} == early
+
+
+def test_many_strata_as_tables_equal_few_on_the_driver(spark):
+    """Names that begin other names, a null stratum, single rows and one that holds a third."""
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "big").when(
+        F.col("id") % 97 == 1, None).otherwise(F.concat(F.lit("s"), (F.col("id") % 41).cast("string"), F.when(
+            F.col("id") % 2 == 0, "!").otherwise(""))).alias("category"))
+    for size in (0, 7, 500, 2999, 3000):
+        few = {r["doc_id"] for r in selection.stratified_sample(df, size).collect()}
+        many = {r["doc_id"] for r in selection.stratified_sample(df, size, max_strata=0).collect()}
+        assert many == few and len(few) == size
+    few = {tuple(r) for r in selection.stratified_split(df).collect()}
+    assert {tuple(r) for r in selection.stratified_split(df, max_strata=0).collect()} == few and len(few) == 3000
+    assert selection.stratified_sample(df.limit(0), 5, max_strata=0).count() == 0
+
+
+def test_quota_table_equals_the_driver(spark):
+    counts = {"a": 10**12, "ab": 3, "a!": 3, "": 1, "b": 3, "é": 10**12 + 7, "c": 1}
+    table = spark.createDataFrame(list(counts.items()), "stratum string, count bigint")
+    for total in (0, 1, 5, 12345, 10**12 + 3, sum(counts.values())):
+        got = {r["stratum"]: r["quota"] for r in selection.quota_table(table, total).collect()}
+        assert got == selection.quotas(counts, total)
+
+
+def test_many_strata_give_exact_sizes(spark):
+    df = spark.range(400_000).select(F.col("id").alias("doc_id"), F.when(
+        F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 150_000).cast("string").alias("category"))
+    got = selection.stratified_sample(df, 123_457).groupBy("category").count()
+    assert got.agg(F.sum("count")).first()[0] == 123_457
+    shares = df.groupBy("category").agg((F.count("*") * 123_457 / 400_000).alias("share"))
+    off = shares.join(got, "category", "left").filter(
+        F.abs(F.coalesce("count", F.lit(0)) - F.col("share")) >= 1).count()
+    assert off == 0
+    split = {r["split"]: r["count"] for r in selection.stratified_split(df).groupBy("split").count().collect()}
+    assert split == {"train": 289_000, "validation": 51_000, "test": 60_000}

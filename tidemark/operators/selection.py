@@ -6,13 +6,17 @@ counting key prefixes, a few hex digits at a time: every pass is one narrow
 aggregation whose result is bounded by the number of prefixes, and the hottest
 stratum is counted map-side like any other. The rows themselves are then only
 compared with the cut-off key and never shuffled.
+
+Quotas and cut-offs of up to ``DRIVER_ROWS`` strata are worked out on the driver; those of more are tables, made by
+the same rules with joins. Null is a stratum like any other.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.operators.sizing import collect_bounded
+from tidemark.operators.sizing import DRIVER_ROWS, broadcast_if_small
+from tidemark.session import stored
 
 DIGITS_PER_PASS = 4
 LOWEST = -(1 << 63)
@@ -43,39 +47,67 @@ def cutoffs(keys: DataFrame, wanted: list[tuple[str, int]]) -> dict[tuple[str, i
     spark = keys.sparkSession
     found = {(s, r): "" for s, r in wanted if r <= 0}
     open_ = [(s, r, "", r) for s, r in wanted if r > 0]
+    depth = 0
     while open_:
-        active = spark.createDataFrame(
-            open_, "stratum string, rank bigint, prefix string, remaining bigint"
-        )
-        depth = len(open_[0][2])
-        bins = (
-            keys.withColumn("prefix", F.substring("key", 1, depth))
-            .withColumn("bin", F.substring("key", 1, depth + DIGITS_PER_PASS))
-            .join(F.broadcast(active.select("stratum", "prefix").distinct()),
-                  ["stratum", "prefix"], "left_semi")
-            .groupBy("stratum", "prefix", "bin").count()
-        )
-        running = bins.withColumn(
-            "upto",
-            F.sum("count").over(Window.partitionBy("stratum", "prefix").orderBy("bin")),
-        )
-        hits = (
-            running.join(F.broadcast(active), ["stratum", "prefix"])
-            .filter((F.col("upto") >= F.col("remaining"))
-                    & (F.col("upto") - F.col("count") < F.col("remaining")))
-            .collect()
-        )
+        active = F.broadcast(spark.createDataFrame(open_, _OPEN))
+        rows = keys.join(_prefixes(active), _within(keys, depth), "left_semi")
         open_ = []
-        for h in hits:
-            if h["upto"] == h["remaining"] or h["bin"] == h["prefix"]:
+        for h in _hits(_bins(rows, depth), active).collect():
+            if h["exact"]:
                 found[(h["stratum"], h["rank"])] = h["bin"]
             else:
-                open_.append(
-                    (h["stratum"], h["rank"], h["bin"], h["remaining"] - h["upto"] + h["count"])
-                )
+                open_.append((h["stratum"], h["rank"], h["bin"], h["left"]))
+        depth += DIGITS_PER_PASS
+    return found
+
+
+def cutoff_table(keys: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``cutoffs`` for a table of (stratum, rank) of any length: ``stratum, rank, cut``.
+
+    Keys are counted by bin before they meet the open ranks, so a stratum of any size sends at most 65,536
+    counts of a prefix.
+    """
+    found = wanted.filter("rank <= 0").select("stratum", "rank", F.lit("").alias("cut"))
+    open_ = wanted.filter("rank > 0").select(
+        "stratum", "rank", F.lit("").alias("prefix"), F.col("rank").alias("remaining"))
+    depth = 0
+    while not open_.isEmpty():
+        hits = stored(_hits(_bins(keys, depth), broadcast_if_small(open_)), "rank-hits")
+        found = found.unionByName(hits.filter("exact").select("stratum", "rank", F.col("bin").alias("cut")))
+        open_ = hits.filter("NOT exact").select(
+            "stratum", "rank", F.col("bin").alias("prefix"), F.col("left").alias("remaining"))
+        depth += DIGITS_PER_PASS
     return found
 
 
+_OPEN = "stratum string, rank bigint, prefix string, remaining bigint"
+
+
+def _prefixes(active: DataFrame) -> DataFrame:
+    return F.broadcast(active.select(F.col("stratum").alias("_s"), F.col("prefix").alias("_p")).distinct())
+
+
+def _within(keys: DataFrame, depth: int) -> Column:
+    return (keys["stratum"] == F.col("_s")) & (F.substring(keys["key"], 1, depth) == F.col("_p"))
+
+
+def _bins(keys: DataFrame, depth: int) -> DataFrame:
+    """Keys per stratum, prefix of ``depth`` digits and the digits of this pass."""
+    return keys.groupBy("stratum", F.substring("key", 1, depth).alias("prefix"),
+                        F.substring("key", 1, depth + DIGITS_PER_PASS).alias("bin")).count()
+
+
+def _hits(bins: DataFrame, active: DataFrame) -> DataFrame:
+    """The bin that holds each open rank, whether it ends there, and what is left to find within it."""
+    running = bins.withColumn(
+        "upto", F.sum("count").over(Window.partitionBy("stratum", "prefix").orderBy("bin")))
+    return running.join(active, ["stratum", "prefix"]).filter(
+        (F.col("upto") >= F.col("remaining")) & (F.col("upto") - F.col("count") < F.col("remaining"))
+    ).select("stratum", "rank", "bin",
+             ((F.col("upto") == F.col("remaining")) | (F.col("bin") == F.col("prefix"))).alias("exact"),
+             (F.col("remaining") - F.col("upto") + F.col("count")).alias("left"))
+
+
 def not_beyond(key: Column | str, cutoff: Column) -> Column:
     """Is the key within the cut-off; an empty cut-off admits nothing."""
     key = F.col(key) if isinstance(key, str) else key
@@ -94,32 +126,73 @@ def quotas(counts: dict[str, int], total: int) -> dict[str, int]:
     return out
 
 
-def _strata_counts(df: DataFrame, stratum: str) -> dict[str, int]:
-    return {r[stratum]: r["count"] for r in collect_bounded(df.groupBy(stratum).count())}
+def quota_table(counts: DataFrame, total: int) -> DataFrame:
+    """``quotas`` for a table of (stratum, count) of any length: ``stratum, count`` and ``quota``.
+
+    The strata that get one more are those up to a cut-off key of remainder and name, found by counting.
+    """
+    n = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    if n == 0:
+        return counts.withColumn("quota", F.lit(0).cast("bigint"))
+    product = F.col("count").cast("decimal(19,0)") * F.lit(total).cast("decimal(19,0)")
+    whole = F.expr(f"(CAST(count AS DECIMAL(19,0)) * CAST({total} AS DECIMAL(19,0))) DIV CAST({n} AS DECIMAL(19,0))")
+    shares = counts.withColumn("_whole", whole).withColumn(
+        "_rest", (product - F.col("_whole") * F.lit(n).cast("decimal(19,0)")).cast("bigint"))
+    # A final sign below all digits keeps a name apart from those that it begins.
+    order = F.concat(F.lpad(F.hex(F.lit(n - 1) - F.col("_rest")), len(f"{n:x}"), "0"), F.hex("stratum"), F.lit("!"))
+    shares = stored(shares.withColumn("_order", order), "shares")
+    more = total - shares.agg(F.sum("_whole")).first()[0]
+    cut = cutoffs(shares.select(F.lit("all").alias("stratum"), F.col("_order").alias("key")),
+                  [("all", more)])[("all", more)]
+    return shares.select("stratum", "count", (
+        F.col("_whole") + not_beyond("_order", F.lit(cut)).cast("bigint")).alias("quota"))
+
+
+def _named(stratum: str) -> Column:
+    """The stratum as text that keeps the order of names; null comes first."""
+    return F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit(""))
 
 
 def _keyed(df: DataFrame, stratum: str, row_id: str, seed: int) -> DataFrame:
-    return df.select(F.col(stratum).alias("stratum"), hash_key(row_id, seed).alias("key"))
+    return df.select(_named(stratum).alias("stratum"), hash_key(row_id, seed).alias("key"))
+
+
+def _strata(keys: DataFrame, max_strata: int) -> tuple[dict[str, int] | None, DataFrame]:
+    """The rows of each stratum, on the driver if the strata are few, and as a table."""
+    counts = keys.groupBy("stratum").count()
+    few = counts.limit(max_strata + 1).collect()
+    if len(few) <= max_strata:
+        return {r["stratum"]: r["count"] for r in few}, counts
+    return None, stored(counts, "strata")
+
+
+def _cut(df: DataFrame, stratum: str, table: DataFrame) -> DataFrame:
+    """``df`` beside the cut-offs of its strata."""
+    return df.withColumn("_stratum", _named(stratum)).join(
+        broadcast_if_small(table.withColumnRenamed("stratum", "_stratum")), "_stratum")
 
 
 def stratified_sample(
-    df: DataFrame, size: int, stratum: str = "category", row_id: str = "doc_id", seed: int = 42
+    df: DataFrame, size: int, stratum: str = "category", row_id: str = "doc_id", seed: int = 42,
+    max_strata: int = DRIVER_ROWS,
 ) -> DataFrame:
     """Exactly ``size`` rows with the class shares of the whole; all rows if there are no more."""
-    counts = _strata_counts(df, stratum)
-    if size >= sum(counts.values()):
-        return df
-    wanted = quotas(counts, size)
-    cuts = cutoffs(_keyed(df, stratum, row_id, seed), list(wanted.items()))
-    table = df.sparkSession.createDataFrame(
-        [(s, cuts[(s, r)]) for s, r in wanted.items()], f"{stratum} string, _cut string"
-    )
-    return (
-        df.join(F.broadcast(table), stratum)
-        .filter(not_beyond(hash_key(row_id, seed), F.col("_cut")))
-        .drop("_cut")
-        .select(*df.columns)
-    )
+    keys = _keyed(df, stratum, row_id, seed)
+    counts, strata = _strata(keys, max_strata)
+    if counts is not None:
+        if size >= sum(counts.values()):
+            return df
+        wanted = quotas(counts, size)
+        cuts = cutoffs(keys, list(wanted.items()))
+        table = df.sparkSession.createDataFrame(
+            [(s, cuts[(s, r)]) for s, r in wanted.items()], "stratum string, _cut string")
+    else:
+        if size >= strata.agg(F.sum("count")).first()[0]:
+            return df
+        wanted = quota_table(strata, size).select("stratum", F.col("quota").alias("rank"))
+        table = cutoff_table(keys, stored(wanted, "quotas")).select("stratum", F.col("cut").alias("_cut"))
+    return _cut(df, stratum, table).filter(
+        not_beyond(hash_key(row_id, seed), F.col("_cut"))).select(*df.columns)
 
 
 def random_sample(df: DataFrame, size: int, row_id: str = "doc_id", seed: int = 42) -> DataFrame:
@@ -136,22 +209,33 @@ def stratified_split(
     test_ratio: float = 0.15,
     validation_ratio: float = 0.15,
     seed: int = 42,
+    max_strata: int = DRIVER_ROWS,
 ) -> DataFrame:
     """Adds ``split``: test first, then validation as a share of the remainder, rest train."""
-    counts = _strata_counts(df, stratum)
-    n = sum(counts.values())
+    keys = _keyed(df, stratum, row_id, seed)
+    counts, strata = _strata(keys, max_strata)
+    n = sum(counts.values()) if counts is not None else strata.agg(F.sum("count")).first()[0]
     fit_n = n - _ceil(test_ratio * n)
-    fit = quotas(counts, fit_n)
-    train = quotas(fit, fit_n - _ceil(validation_ratio * fit_n))
-    wanted = list({(s, r) for q in (fit, train) for s, r in q.items()})
-    cuts = cutoffs(_keyed(df, stratum, row_id, seed), wanted)
-    table = df.sparkSession.createDataFrame(
-        [(s, cuts[(s, train[s])], cuts[(s, fit[s])]) for s in counts],
-        f"{stratum} string, _train string, _fit string",
-    )
+    train_n = fit_n - _ceil(validation_ratio * fit_n)
+    if counts is not None:
+        fit = quotas(counts, fit_n)
+        train = quotas(fit, train_n)
+        cuts = cutoffs(keys, list({(s, r) for q in (fit, train) for s, r in q.items()}))
+        table = df.sparkSession.createDataFrame(
+            [(s, cuts[(s, train[s])], cuts[(s, fit[s])]) for s in counts],
+            "stratum string, _train string, _fit string")
+    else:
+        fit = stored(quota_table(strata, fit_n).select("stratum", F.col("quota").alias("count")), "fit-quotas")
+        both = stored(quota_table(fit, train_n).withColumnRenamed("count", "fit"), "train-quotas")
+        ranks = both.select("stratum", F.col("fit").alias("rank")).union(both.select("stratum", "quota")).distinct()
+        cuts = stored(cutoff_table(keys, ranks), "cut-offs")
+        table = both.join(cuts.select("stratum", F.col("rank").alias("fit"), F.col("cut").alias("_fit")),
+                          ["stratum", "fit"]).join(
+            cuts.select("stratum", F.col("rank").alias("quota"), F.col("cut").alias("_train")),
+            ["stratum", "quota"]).select("stratum", "_train", "_fit")
     key = hash_key(row_id, seed)
     return (
-        df.join(F.broadcast(table), stratum)
+        _cut(df, stratum, table)
         .withColumn(
             "split",
             F.when(not_beyond(key, F.col("_train")), "train")
