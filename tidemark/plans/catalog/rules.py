@@ -10,7 +10,7 @@ from tidemark.functions.pinning import unnest
 from tidemark.functions.routing import with_routing
 from tidemark.functions.severity import with_severity
 from tidemark.functions.sub_issue import with_sub_issue
-from tidemark.operators import portfolio
+from tidemark.operators import phrases, portfolio
 from tidemark.plans import triage
 from tidemark.plans.catalog import sql
 from tidemark.policy import domain as domain_policy, routing as routing_policy
@@ -201,6 +201,51 @@ def custom_severity(spark, sf):
         "doc_id", "risk_score", "severity_level")
 
 
+@query(
+    "k6_lexicon_table_severity",
+    _SCORED + """SELECT doc_id, risk_score, severity_level, array_to_string(matched_signals, '|') AS matched_signals,
+      array_to_string(list_filter(keyword_list, lambda x, i: list_position(keyword_list, x) = i), '|') AS detected_keywords
+      FROM scored""",
+)
+def lexicon_table_severity(spark, sf):
+    """The signals as a table that the texts meet by a join."""
+    c = X.with_clean_text(intake.complaints(spark, sf))
+    s = phrases.severity(c, phrases.signal_table(spark))
+    return s.select("doc_id", "risk_score", "severity_level", pipe("matched_signals").alias("matched_signals"),
+                    pipe("detected_keywords").alias("detected_keywords"))
+
+
+#: Phrases of two and of three words make the lexicon of the next query.
+_PHRASE_WORDS = (2, 3)
+
+
+@query(
+    "j3_phrase_lexicon",
+    sql.with_(sql.CLEANED, f"""bw AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+kw AS ({" UNION ".join(
+        f"SELECT array_to_string(w[i:i + {n - 1}], ' ') AS keyword FROM (SELECT w, unnest(range(1, len(w) - {n - 2})) AS i FROM bw)"
+        for n in _PHRASE_WORDS)}),
+tk AS (SELECT doc_id, string_split({sql.padded('cleaned')}, ' ') AS t FROM cleaned),
+gr AS ({" UNION ".join(
+        f"SELECT doc_id, array_to_string(t[i:i + {n - 1}], ' ') AS keyword FROM (SELECT doc_id, t, unnest(range(1, len(t) - {n - 2})) AS i FROM tk)"
+        for n in _PHRASE_WORDS)})""")
+    + "SELECT keyword, count(gr.doc_id) AS n_docs FROM kw LEFT JOIN gr USING (keyword) GROUP BY keyword",
+)
+def phrase_lexicon(spark, sf):
+    """In how many complaints each phrase of the benchmark texts stands; the lexicon is a table that grows."""
+    words = intake.table(spark, sf, "benchmark").select(
+        F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+    runs = [F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1),
+                                                lambda at, n=n: F.array_join(F.slice("w", at, n), " ")))
+            for n in _PHRASE_WORDS]
+    lexicon_table = words.select(F.explode(F.concat(*[
+        F.coalesce(r, F.array().cast("array<string>")) for r in runs])).alias("keyword")).distinct()
+    counts = phrases.matches(X.with_clean_text(intake.complaints(spark, sf)), lexicon_table).groupBy(
+        "keyword").agg(F.count("*").alias("n"))
+    return lexicon_table.join(counts, "keyword", "left").select(
+        "keyword", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_docs"))
+
+
 # --- sub-issues and routing ------------------------------------------------
 
 _TAGGED = sql.with_(sql.LABELLED, sql.with_sub_issue("labelled"))
