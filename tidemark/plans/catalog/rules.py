@@ -219,6 +219,13 @@ def lexicon_table_severity(spark, sf):
 _PHRASE_WORDS = (2, 3)
 
 
+def _runs(n):
+    """All runs of n words as texts."""
+    starts = F.sequence(F.lit(1), F.size("w") - n + 1)
+    return F.when(F.size("w") >= n, F.transform(starts, lambda at: F.array_join(F.slice("w", at, n), " "))).otherwise(
+        F.array().cast("array<string>"))
+
+
 @query(
     "j3_phrase_lexicon",
     sql.with_(sql.CLEANED, f"""bw AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
@@ -235,11 +242,7 @@ def phrase_lexicon(spark, sf):
     """In how many complaints each phrase of the benchmark texts stands; the lexicon is a table that grows."""
     words = intake.table(spark, sf, "benchmark").select(
         F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
-    runs = [F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1),
-                                                lambda at, n=n: F.array_join(F.slice("w", at, n), " ")))
-            for n in _PHRASE_WORDS]
-    lexicon_table = words.select(F.explode(F.concat(*[
-        F.coalesce(r, F.array().cast("array<string>")) for r in runs])).alias("keyword")).distinct()
+    lexicon_table = words.select(F.explode(F.concat(*[_runs(n) for n in _PHRASE_WORDS])).alias("keyword")).distinct()
     counts = phrases.matches(X.with_clean_text(intake.complaints(spark, sf)), lexicon_table).groupBy(
         "keyword").agg(F.count("*").alias("n"))
     return lexicon_table.join(counts, "keyword", "left").select(
