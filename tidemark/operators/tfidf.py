@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.pinning import pin, unnest
 from tidemark.functions.text import terms, with_bigrams
+from tidemark.operators.cutoff import most_frequent
+from tidemark.session import stored
 
 
 @dataclass(frozen=True)
@@ -67,11 +69,15 @@ def term_statistics(df: DataFrame, terms_col: str = "_terms") -> DataFrame:
 
 
 def vocabulary(df: DataFrame, weighting: Weighting, n_rows: int, terms_col: str = "_terms") -> DataFrame:
-    """Terms within the frequency bounds, the most frequent ``max_features`` of them."""
-    kept = term_statistics(df, terms_col).filter(
+    """Terms within the frequency bounds, the most frequent ``max_features`` of them.
+
+    The counted terms are stored, as the cut-off passes over them; only the kept ones are sorted.
+    """
+    kept = stored(term_statistics(df, terms_col).filter(
         (F.col("df") >= weighting.min_df) & (F.col("df") <= weighting.max_df * n_rows)
-    )
-    return kept.orderBy(F.desc("cf"), F.asc("term")).limit(weighting.max_features)
+    ), "term-counts")
+    kept = kept.filter(most_frequent(kept, "cf", "term", weighting.max_features))
+    return kept.orderBy(F.desc("cf"), F.asc("term"))
 
 
 def smoothed_idf(n_rows: int, df: int) -> float:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidemark.functions.pinning import unnest
 from tidemark.functions.severity import with_severity
 from tidemark.functions.text import python_title, with_clean_text
+from tidemark.operators.cutoff import most_frequent
 from tidemark.operators.quality import NOISE, dominant
 from tidemark.operators.sizing import broadcast_if_small
 from tidemark.operators.tfidf import Weighting, with_terms
@@ -51,8 +52,9 @@ def class_terms(
     # max_terms needs no second look at the texts.
     by_term = counts.groupBy("term").agg(
         F.sum("n_tc").alias("f_t"), F.collect_list(F.struct(label, "n_tc")).alias("_in"))
-    kept = by_term.orderBy(F.desc("f_t"), F.asc("term")).limit(max_terms)
-    kept = stored(kept.select("term", "f_t", F.inline("_in")), "class-term-counts")
+    by_term = stored(by_term, "class-term-counts")
+    kept = by_term.filter(most_frequent(by_term, "f_t", "term", max_terms)).select(
+        "term", "f_t", F.inline("_in"))
     w = Window.partitionBy(label)
     mean = kept.agg(F.sum("n_tc") / F.count_distinct(label)).scalar()
     scored = (
