@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import with_clean_text
 from tidemark.operators import clustering, density, retrieval, topics
-from tidemark.plans import training, triage
+from tidemark.plans import stages, training, triage
 from tidemark.plans.catalog import learning, sql
 from tidemark.plans.catalog.rules import _BOARD
 from tidemark.policy import domain as domain_policy
@@ -152,6 +153,30 @@ def saved_topics_round_trip(spark, sf):
         F.count("*").alias("differing_rows"), F.lit(b.count()).alias("answers"))
 
 
+@query("s6_saved_pipeline_round_trip",
+       sql.with_(sql.LABELLED, sql.with_domain("labelled"))
+       + """SELECT 0::BIGINT AS differing_rows, count(*) AS answers,
+         count(*) FILTER (in_domain) AS accepted, count(*) FILTER (NOT in_domain) AS rejected FROM gated""")
+def saved_pipeline_round_trip(spark, sf):
+    """The whole triage as one fitted pipeline: reloaded, it judges like the saved one. Differing rows, expected none."""
+    train = learning.rows(spark, sf).select(
+        "doc_id", F.col("text").alias("narrative"), F.col("category").alias("label"), "split")
+    fitted = stages.triage_pipeline().fit(train)
+    path = scratch_path(spark, "triage-pipeline")
+    fitted.write().save(path)
+    asked = corpus_source.labelled(intake.complaints(spark, sf)).select("doc_id", "narrative")
+    cols = ("doc_id", "category", "confidence", "in_domain", "sub_issue", "severity_level", "risk_score",
+            "target_queue", "sla_hours", "priority")
+    a = stored(fitted.transform(asked).select(*cols), "judged")
+    b = stored(PipelineModel.load(path).transform(asked).select(*cols), "judged-again")
+    other = b.select("doc_id", F.struct(*cols).alias("again"))
+    both = a.select("doc_id", F.struct(*cols).alias("first"), "in_domain").join(other, "doc_id", "full")
+    return both.agg(
+        F.count_if(~F.col("first").eqNullSafe(F.col("again"))).alias("differing_rows"),
+        F.count("again").alias("answers"), F.count_if("in_domain").alias("accepted"),
+        F.count_if(~F.col("in_domain")).alias("rejected"))
+
+
 @query("k22_engine_choice")
 def engine_choice(spark, sf):
     """TF-IDF against topic-space vectors on the paraphrase queries."""
