@@ -15,7 +15,6 @@ from tidemark.plans import triage
 from tidemark.plans.catalog import sql
 from tidemark.policy import domain as domain_policy, routing as routing_policy
 from tidemark.policy.labels import CATEGORY_BY_PRODUCT
-from tidemark.session import scratch_path
 from tidemark.sources import complaints as corpus_source, intake
 
 QUERIES, ORACLES = {}, {}
@@ -528,15 +527,58 @@ def first_complaints(spark, sf):
     return labelled(spark, sf).orderBy("category", "doc_id").limit(25).select("doc_id", "category")
 
 
-@query("s4_portfolio_summary")
+_WORDS = f"CASE WHEN {sql.blank('narrative')} THEN 0 ELSE len(string_split({sql.squeeze('narrative')}, ' ')) END::INTEGER"
+_COUNTED = f"counted AS (SELECT category, sub_issue, severity_level, risk_score, {_WORDS} AS n_words FROM scored)"
+
+
+@query(
+    "a1_a11_section_counts",
+    _PORTFOLIO.rstrip() + f",\n{_COUNTED}\n" + """SELECT CASE
+        WHEN grouping(sub_issue) = 0 THEN 'sub_issue' WHEN grouping(category) + grouping(severity_level) = 0 THEN 'category_severity'
+        WHEN grouping(category) = 0 THEN 'category' WHEN grouping(severity_level) = 0 THEN 'severity'
+        WHEN grouping(risk_score) = 0 THEN 'risk' WHEN grouping(n_words) = 0 THEN 'words' ELSE 'total' END AS section,
+        category, sub_issue, severity_level, risk_score, n_words, count(*) AS complaints FROM counted
+      GROUP BY GROUPING SETS ((), (category), (severity_level), (category, sub_issue), (category, severity_level),
+        (risk_score), (n_words))""",
+)
+def section_counts(spark, sf):
+    """All counts of the portfolio summary, from one pass over the texts."""
+    return portfolio.section_counts(scored(spark, sf))
+
+
+def _object(rows, key="k", value="v"):
+    """A JSON object of rows, keys in order."""
+    return f"""(SELECT '{{' || coalesce(string_agg('"' || {key} || '":' || {value}, ',' ORDER BY {key}), '') || '}}' FROM {rows})"""
+
+
+_SUMMARY_SQL = _PORTFOLIO.rstrip() + f""",
+{_COUNTED},
+cats AS (SELECT category AS k, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER () * 100, 2) AS pct FROM counted GROUP BY 1),
+tiers AS (SELECT severity_level AS k, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER () * 100, 2) AS pct FROM counted GROUP BY 1),
+subs AS (SELECT category, sub_issue AS name, count(*) AS n,
+  row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, sub_issue) AS rank FROM counted GROUP BY category, sub_issue),
+sub_objects AS (SELECT category AS k, '{{' || string_agg('"' || name || '":' || n, ',' ORDER BY name) || '}}' AS v
+  FROM subs WHERE rank <= 5 GROUP BY 1),
+cross_tab AS (SELECT category, severity_level AS name, count(*) AS n FROM counted GROUP BY ALL),
+tab_objects AS (SELECT category AS k, '{{' || string_agg('"' || name || '":' || n, ',' ORDER BY name) || '}}' AS v FROM cross_tab GROUP BY 1)
+SELECT '{{"total_complaints":' || (SELECT count(*) FROM counted)
+  || ',"category_counts":' || {_object("cats", value="n")}
+  || ',"category_percentages":' || {_object("cats", value="pct")}
+  || ',"severity_counts":' || {_object("tiers", value="n")}
+  || ',"severity_percentages":' || {_object("tiers", value="pct")}
+  || (SELECT ',"mean_risk_score":' || round(avg(risk_score), 3) || ',"median_risk_score":'
+        || round(quantile_cont(risk_score, 0.5), 3) FROM counted)
+  || ',"sub_issues_by_category":' || {_object("sub_objects")}
+  || ',"severity_by_category":' || {_object("tab_objects")}
+  || (SELECT ',"narrative_length_stats":{{"mean_words":' || round(avg(n_words), 1) || ',"median_words":'
+        || trunc(quantile_cont(n_words, 0.5))::INTEGER || ',"p90_words":' || trunc(quantile_cont(n_words, 0.9))::INTEGER
+        || ',"max_words":' || max(n_words) || '}}' FROM counted) || '}}' AS summary"""
+
+
+@query("s4_portfolio_summary", _SUMMARY_SQL)
 def portfolio_summary(spark, sf):
-    """The whole summary as one JSON document, from one stored pass over the texts."""
-    path = scratch_path(spark, "scored")
-    scored(spark, sf).select(
-        "doc_id", "category", "sub_issue", "severity_level", "risk_score", "narrative"
-    ).write.parquet(path)
-    return portfolio.summary_document(spark.read.parquet(path)).select(
-        F.to_json(F.struct("*")).alias("summary"))
+    """The whole summary as one JSON document, from one pass over the texts."""
+    return portfolio.summary_document(scored(spark, sf)).select(F.to_json(F.struct("*")).alias("summary"))
 
 
 @query(
