@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from tidemark.functions import text as X
 from tidemark.operators import portfolio, selection
@@ -45,6 +45,38 @@ def csv_round_trip(spark, sf):
     return corpus_source.read_csv(spark, path)
 
 
+_EXPORT = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType()),
+    T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
+    T.StructField("n_chars", T.LongType())])
+
+
+@query(
+    "s3_full_scan_rejects",
+    """WITH r AS (SELECT *, CASE WHEN doc_id % 10 IN (7, 9) THEN 'columns' WHEN doc_id % 10 = 3 THEN 'values' END AS reason,
+        doc_id || ',"' || source || '","' || replace(text, '"', '""') || '",' AS head FROM documents)
+      SELECT doc_id, reason, CASE WHEN reason IS NULL THEN lang END AS lang,
+        CASE WHEN reason IS NULL THEN n_chars END AS n_chars, md5(CASE WHEN reason IS NULL THEN text
+          WHEN doc_id % 10 = 7 THEN head || lang WHEN doc_id % 10 = 9 THEN head || lang || ',' || n_chars || ',more'
+          ELSE head || lang || ',n/a' END) AS text_md5 FROM r""",
+)
+def full_scan_rejects(spark, sf):
+    """All columns of an export of which some records are damaged: a field lost, one too many, or no number."""
+    digit = F.col("doc_id") % 10
+    lines = intake.table(spark, sf, "documents").select(F.concat(
+        F.col("doc_id"), F.lit(',"'), F.col("source"), F.lit('","'), F.replace("text", F.lit('"'), F.lit('""')),
+        F.lit('",'), F.col("lang"),
+        F.when(digit == 7, "").when(digit == 3, ",n/a").when(digit == 9, F.concat(F.lit(","), F.col("n_chars"), F.lit(",more")))
+        .otherwise(F.concat(F.lit(","), F.col("n_chars")))).alias("value"))
+    path = scratch_path(spark, "export-csv")
+    lines.write.text(path)
+    good, rejected = corpus_source.read_all(spark, path, _EXPORT, header=False, line_sep="\n")
+    none = F.lit(None)
+    return good.select("doc_id", none.cast("string").alias("reason"), "lang", "n_chars", F.md5("text").alias("text_md5")).unionAll(
+        rejected.select(F.substring_index("record", ",", 1).cast("long"), "reason", none.cast("string"), none.cast("long"),
+                        F.md5("record")))
+
+
 @query(
     "s4_json_report_round_trip",
     sql.with_(sql.LABELLED)
