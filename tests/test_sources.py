@@ -1,11 +1,12 @@
 import os
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import types as T
 
 from tidemark.session import scratch_path
-from tidemark.sources import complaints
+from tidemark.sources import complaints, reports
 
 SCHEMA = T.StructType([T.StructField("product", T.StringType()), T.StructField("narrative", T.StringType()),
                        T.StructField("n", T.IntegerType())])
@@ -63,3 +64,16 @@ def test_lines_add_up_where_no_record_spans_them(spark):
 def test_missing_path(spark):
     with pytest.raises(AnalysisException):
         complaints.read_all(spark, "/tmp/no/such/folder", SCHEMA)
+
+
+def test_report_of_models_with_its_time(spark):
+    averages = spark.createDataFrame([(0.5, 0.25)], "accuracy double, macro_f1 double")
+    classes = spark.createDataFrame([("b", 0.5, 1.0, 0.25, 3), ("a", 0.0, 0.0, 0.0, 0)],
+                                    "class string, precision double, recall double, f1 double, support bigint")
+    path = scratch_path(spark, "report-test")
+    reports.write_report(reports.stamped(reports.model_report({"m": (averages, classes), "n": (averages, classes)})), path)
+    back = reports.read_report(spark, path, reports.CLASSIFICATION_REPORT)
+    when = datetime.fromisoformat(back.first()["generated_at"])
+    assert when.utcoffset() == timedelta(0) and abs(datetime.now(timezone.utc) - when) < timedelta(minutes=10)
+    got = sorted(map(tuple, reports.model_rows(back).collect()))
+    assert got == [(m, 0.5, 0.25, *c) for m in "mn" for c in [("a", 0.0, 0.0, 0.0, 0), ("b", 0.5, 1.0, 0.25, 3)]]

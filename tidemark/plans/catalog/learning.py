@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import lexicon
@@ -11,7 +13,7 @@ from tidemark.plans import training
 from tidemark.plans.catalog import sql
 from tidemark.plans.catalog.themes import _UNIT, _means, unit_embeddings
 from tidemark.session import scratch_path
-from tidemark.sources import complaints as corpus_source, intake
+from tidemark.sources import complaints as corpus_source, intake, reports
 
 QUERIES, ORACLES = {}, {}
 
@@ -148,6 +150,52 @@ def confusion_matrix(spark, sf):
     return metrics.rounded(metrics.confusion(soft_labels(spark, sf)))
 
 
+def beside_constant(spark, sf):
+    """Predictions of the soft labels, and of a model that answers the first label and is sure of nothing."""
+    soft = soft_labels(spark, sf)
+    constant = soft.withColumn("prediction", F.lit(CLASSES[0])).withColumn(
+        "probabilities", F.array_repeat(F.lit(1.0 / N_CLASSES), N_CLASSES))
+    return {"baseline": constant, "improved_calibrated": soft}
+
+
+_BESIDE = sql.with_(
+    _SOFT, _PER_CLASS,
+    f"""base_pred AS (SELECT * REPLACE ('{CLASSES[0]}' AS prediction,
+      list_transform(p, lambda v: (1.0 / {N_CLASSES})::DOUBLE) AS p) FROM pred)""",
+    re.sub(r"\b(pred|labels|k|pc)\b", r"base_\1", _PER_CLASS),
+    *[f"""{name}averages AS (SELECT round(sum(tp)::DOUBLE / sum(support), 4) AS accuracy, round(avg(f1), 4) AS macro_f1,
+      round(avg(recall), 4) AS macro_recall, (SELECT round(avg(-ln(p[label_index + 1])), 4) FROM {name}pred) AS log_loss
+      FROM {name}pc)""" for name in ("", "base_")])
+
+
+@query("c17_metric_deltas", _BESIDE + "SELECT " + ", ".join(
+    f"round(a.{c} - b.{c}, 4) AS {c}_delta" for c in ("accuracy", "macro_f1", "macro_recall", "log_loss"))
+    + " FROM averages a, base_averages b")
+def metric_deltas(spark, sf):
+    """What the soft labels gain over the constant answer."""
+    report = None
+    for name, predicted in beside_constant(spark, sf).items():
+        one = metrics.evaluation(predicted).withColumn("model", F.lit(name))
+        report = one if report is None else report.unionByName(one)
+    return metrics.deltas(report)
+
+
+@query("s5_model_report_rows", _BESIDE + " UNION ALL ".join(
+    f"""SELECT '{model}' AS model, accuracy, macro_f1, class, round(precision, 4) AS precision, round(recall, 4) AS recall,
+      round(f1, 4) AS f1, support, TRUE AS has_time FROM {name}averages, {name}pc"""
+    for name, model in (("", "improved_calibrated"), ("base_", "baseline"))))
+def model_report_rows(spark, sf):
+    """A report of two models with the time of its run, written as JSON, read back and flattened (also F8)."""
+    doc = reports.stamped(reports.model_report({
+        name: (metrics.evaluation(p), metrics.rounded(metrics.per_class(p))) for name, p in beside_constant(spark, sf).items()}))
+    path = scratch_path(spark, "classification-report")
+    reports.write_report(doc, path)
+    back = reports.read_report(spark, path, reports.CLASSIFICATION_REPORT)
+    # The time itself differs from run to run.
+    known = back.select(F.try_to_timestamp("generated_at") <= F.current_timestamp()).scalar()
+    return reports.model_rows(back).withColumn("has_time", known)
+
+
 @query("c1_c7_calibrated_predictions")
 def calibrated_predictions(spark, sf):
     """Improved, calibrated model on the test split."""

@@ -27,6 +27,15 @@ MODEL_METRICS = (
 )
 
 
+CLASSIFICATION_REPORT = f"generated_at string, models map<string,{MODEL_METRICS}>"
+
+
+def stamped(df: DataFrame, name: str = "generated_at") -> DataFrame:
+    """Adds the time of the run in UTC, as ISO text with microseconds; one time for all rows of a query."""
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    return df.withColumn(name, F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"))
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """Each row becomes one JSON document; null fields are kept."""
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode(
@@ -62,6 +71,21 @@ def clustering_rows(report: DataFrame) -> DataFrame:
     )
 
 
+def model_report(models: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """One row with a ``models`` map, from the averages (one row) and the rows per class of each model."""
+    entries = []
+    for name, (averages, classes) in models.items():
+        scores = classes.agg(F.map_from_entries(F.array_sort(
+            F.collect_list(F.struct("class", F.struct("precision", "recall", "f1", "support"))),
+            lambda a, b: F.when(a["class"] < b["class"], -1).otherwise(1))).alias("per_class"))
+        entries.append(averages.withColumn("per_class", scores.scalar()).select(
+            F.lit(name).alias("model"), F.struct("*").alias("metrics")))
+    rows = entries[0]
+    for other in entries[1:]:
+        rows = rows.unionByName(other)
+    return rows.agg(F.map_from_entries(F.collect_list(F.struct("model", "metrics"))).alias("models"))
+
+
 def model_rows(report: DataFrame) -> DataFrame:
     """One row per model and class of a classification report (``models`` map)."""
     return (
