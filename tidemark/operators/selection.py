@@ -250,8 +250,9 @@ def chronological_split(
     df: DataFrame, ratio: float = 0.5, ts: str = "ts", row_id: str = "doc_id"
 ) -> DataFrame:
     """Adds ``period``: the first ``int(n * (1 - ratio))`` rows in time order are the baseline."""
-    keys = df.select(F.lit("all").alias("stratum"), time_key(ts, row_id).alias("key"))
-    rank = int(df.count() * (1.0 - ratio))
+    # Stored: the cut-off passes over the keys several times, and not over what the rows are made from.
+    keys = stored(df.select(F.lit("all").alias("stratum"), time_key(ts, row_id).alias("key")), "time-keys")
+    rank = int(keys.count() * (1.0 - ratio))
     cut = cutoffs(keys, [("all", rank)])[("all", rank)]
     return df.withColumn(
         "period",

@@ -1,14 +1,14 @@
 """TF-IDF weighting over a pruned vocabulary.
 
-Only the vocabulary, bounded by ``max_features``, reaches the driver. Counting
-its terms is one aggregation with map-side combine; weighting a document looks
-at that document alone, so it needs no shuffle.
+Only the vocabulary, bounded by ``max_features``, and the words that its pairs may
+be made of reach the driver. Words are counted first, then pairs of frequent ones;
+weighting a document looks at that document alone, so it needs no shuffle.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml.feature import (
     CountVectorizerModel,
@@ -18,9 +18,10 @@ from pyspark.ml.feature import (
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.functions.pinning import pin, unnest
+from tidemark.functions.pinning import pin
 from tidemark.functions.text import terms, with_bigrams
 from tidemark.operators.cutoff import most_frequent
+from tidemark.operators.ngrams import frequent_terms
 from tidemark.session import stored
 
 
@@ -50,32 +51,16 @@ def with_terms(df: DataFrame, text: str, weighting: Weighting, out: str = "_term
     return df
 
 
-def term_statistics(df: DataFrame, terms_col: str = "_terms") -> DataFrame:
-    """``term, df, cf``: in how many rows a term occurs, and how often in all.
-
-    Each row's terms are emitted once as they are and once without repetition,
-    so both counts come from the same aggregation on the term alone.
-    """
-    both = df.select(
-        F.inline(F.array(
-            F.struct(F.lit(0).alias("once"), F.col(terms_col).alias("terms")),
-            F.struct(F.lit(1).alias("once"), F.array_distinct(terms_col).alias("terms")),
-        ))
-    )
-    both = unnest(both, ["once"], "terms", "term")
-    return both.groupBy("term").agg(
-        F.sum("once").alias("df"), F.sum(1 - F.col("once")).alias("cf")
-    )
-
-
-def vocabulary(df: DataFrame, weighting: Weighting, n_rows: int, terms_col: str = "_terms") -> DataFrame:
-    """Terms within the frequency bounds, the most frequent ``max_features`` of them.
+def vocabulary(df: DataFrame, weighting: Weighting, n_rows: int, words: str = "_terms") -> DataFrame:
+    """Terms within the frequency bounds, the most frequent ``max_features`` of them, from the words of each row.
 
     The counted terms are stored, as the cut-off passes over them; only the kept ones are sorted.
     """
-    kept = stored(term_statistics(df, terms_col).filter(
-        (F.col("df") >= weighting.min_df) & (F.col("df") <= weighting.max_df * n_rows)
-    ), "term-counts")
+    most_rows = weighting.max_df * n_rows
+    counted = frequent_terms(
+        df, words, weighting.max_features, weighting.ngram_max == 2, weighting.min_df, most_rows)
+    kept = stored(counted.select("term", "df", "cf").filter(
+        (F.col("df") >= weighting.min_df) & (F.col("df") <= most_rows)), "term-counts")
     kept = kept.filter(most_frequent(kept, "cf", "term", weighting.max_features))
     return kept.orderBy(F.desc("cf"), F.asc("term"))
 
@@ -104,8 +89,8 @@ class TfidfModel:
     @classmethod
     def fit(cls, df: DataFrame, text: str, weighting: Weighting, n_rows: int | None = None) -> "TfidfModel":
         n = df.count() if n_rows is None else n_rows
-        termed = with_terms(df.select(text), text, weighting)
-        rows = vocabulary(termed, weighting, n).collect()
+        worded = with_terms(df.select(text), text, replace(weighting, ngram_max=1))
+        rows = vocabulary(worded, weighting, n).collect()
         return cls(df.sparkSession, [(r["term"], r["df"], r["cf"]) for r in rows], n, weighting)
 
     def vocabulary_frame(self) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.functions.pinning import unnest
 from tidemark.functions.severity import with_severity
 from tidemark.functions.text import python_title, with_clean_text
 from tidemark.operators.cutoff import most_frequent
+from tidemark.operators.ngrams import frequent_terms
 from tidemark.operators.quality import NOISE, dominant
 from tidemark.operators.sizing import broadcast_if_small
 from tidemark.operators.tfidf import Weighting, with_terms
@@ -44,12 +44,12 @@ def class_terms(
     Term counts per cluster take the place of concatenated cluster texts, so a
     cluster may be of any size; bigrams do not cross narratives.
     """
-    weighting = Weighting(ngram_max=2, stop_words=tuple(stop))
-    termed = with_terms(df.filter(F.col(label) != NOISE).select(label, text), text, weighting)
-    counts = unnest(termed, [label], "_terms", "term").groupBy(label, "term").agg(
-        F.count("*").alias("n_tc"))
+    weighting = Weighting(ngram_max=1, stop_words=tuple(stop))
+    worded = with_terms(df.filter(F.col(label) != NOISE).select(label, text), text, weighting)
+    counts = frequent_terms(worded, "_terms", max_terms, label=label).select(
+        F.col("label").cast(dict(df.dtypes)[label]).alias(label), "term", F.col("cf").alias("n_tc"))
     # A term's counts in all clusters form one row, so that cutting the vocabulary to
-    # max_terms needs no second look at the texts.
+    # max_terms needs no second look at the counts.
     by_term = counts.groupBy("term").agg(
         F.sum("n_tc").alias("f_t"), F.collect_list(F.struct(label, "n_tc")).alias("_in"))
     by_term = stored(by_term, "class-term-counts")
