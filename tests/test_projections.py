@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.projections import ProjectionIndex, probe_order, probe_ranks
+from tidemark.operators import projections
+from tidemark.operators.projections import ProjectionIndex, furthest_probe, probe_order, probe_ranks
 from tidemark.operators.vectors import top_k_cosine
 
 SCHEMA = "vec_id bigint, embedding array<float>"
@@ -91,3 +92,22 @@ def test_odd_rows(spark):
     assert index.query(df.limit(0).withColumnRenamed("vec_id", "query_id")).count() == 0
     with pytest.raises(ValueError):
         index.query(df.withColumnRenamed("vec_id", "query_id"), 0)
+
+
+def test_the_last_probe_has_its_cost(monkeypatch):
+    rng = np.random.default_rng(2)
+    for listed in (16, 0):
+        monkeypatch.setattr(projections, "LISTED_PLANES", listed)
+        values = rng.standard_normal(6)
+        costs = sorted(sum(values[i] ** 2 for i in s) for n in range(7) for s in itertools.combinations(range(6), n))
+        assert [furthest_probe(values, n) for n in range(1, 64)] == pytest.approx(costs[:63])
+        assert furthest_probe(values, 64) == float("inf")
+
+
+def test_a_query_is_stored_once_however_many_buckets_it_visits(spark, grouped, monkeypatch):
+    df, kept = frame(spark, grouped[:800]), {}
+    index = ProjectionIndex.build(df, bucket_rows=16)
+    store = projections.stored
+    monkeypatch.setattr(projections, "stored", lambda rows, name: kept.setdefault(name, store(rows, name)))
+    assert index.query(asked(df), 5, probes=20).count() == 200
+    assert sum(t.count() for t in kept.values()) == 40

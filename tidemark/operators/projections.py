@@ -2,8 +2,9 @@
 
 A row's bucket is the side it takes of random planes through the corpus mean. Rows of a bucket are packed into
 segments of bounded size, stored by the leading planes. A query visits buckets in the order of the distance it
-would have to move to get there; how many is set by a sample of rows whose true neighbours are known. Queries are
-a table: they meet segments by a join on the bucket, in blocks, and every visited row is scored on its full vector.
+would have to move to get there; how many is set by a sample of rows whose true neighbours are known, and a query keeps
+the distance of its last one. A bounded number of queries goes to the tasks at a time; each segment finds the queries that
+come that far, and every visited row is scored on its full vector. No vector is copied for each bucket that it visits.
 """
 
 from __future__ import annotations
@@ -16,20 +17,21 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.operators.ranking import Kept, best
+from tidemark.operators.ranking import QUERIES_PER_SCAN, Kept, best, in_chunks
 from tidemark.operators.selection import random_sample
 from tidemark.operators.sizing import broadcast_if_small
 from tidemark.operators.vectors import matrix, top_k_cosine, unit_rows
 from tidemark.session import scratch_path, stored
 
-#: Rows that a bucket has on average, rows of a segment at most on average, queries of a block likewise.
+#: Rows that a bucket has on average, rows of a segment at most on average, queries that a segment is multiplied with at once.
 BUCKET_ROWS = 128
 SEGMENT_ROWS = 2048
 BLOCK_QUERIES = 256
 
-#: Planes at most, and leading planes that name the folder of a bucket.
+#: Planes at most, leading planes that name the folder of a bucket, and planes whose buckets are all listed to rank them.
 MAX_PLANES = 30
 FOLDER_PLANES = 8
+LISTED_PLANES = 16
 
 #: Rows whose true neighbours set the number of probes, neighbours of each, and the share of them to reach.
 SAMPLE_ROWS = 512
@@ -163,15 +165,24 @@ class ProjectionIndex:
             return spark.createDataFrame([], f"query_id bigint, {row_id} bigint, score double, rank int")
         asked = _usable(queries, "query_id", vec).withColumnRenamed("row_id", "query_id").mapInArrow(
             _asked(self.planes, self.mean, min(probes or self.probes, 1 << n_planes)),
-            "query_id bigint, vec array<double>, bucket bigint")
-        asked = stored(asked, "probes")
-        folders = [r[0] for r in asked.select(_folder(n_planes)).distinct().collect()]
-        blocks = _dealt(asked, "query_id", BLOCK_QUERIES).groupBy("bucket", "part").agg(
-            F.collect_list(F.struct("query_id", "vec")).alias("q")).select(
-            "bucket", F.col("q.query_id").alias("asked"), F.flatten("q.vec").alias("asked_vecs"))
-        met = self.segments.filter(F.col("folder").isin(folders)).select("bucket", "ids", "vecs").join(blocks, "bucket")
-        found = met.select("ids", "vecs", "asked", "asked_vecs").mapInArrow(
-            _scores(k, len(self.mean)), f"query_id bigint, {row_id} bigint, score double")
+            "query_id bigint, vec array<double>, furthest double")
+        found = None
+        for chunk in in_chunks(stored(asked, "asked")):
+            ids = np.array([r["query_id"] for r in chunk], np.int64)
+            vecs = np.array([r["vec"] for r in chunk], np.float64)
+            values, furthest = (vecs - self.mean) @ self.planes, np.array([r["furthest"] for r in chunk])
+            # Queries of near buckets side by side: whole blocks of them pass a segment by.
+            order = np.argsort(_sides(values), kind="stable")
+            ids, vecs, values, furthest = ids[order], vecs[order], values[order], furthest[order]
+            folders = _folders(values, furthest)
+            one = self.segments.filter(F.col("folder").isin(folders)).select("bucket", "ids", "vecs").mapInArrow(
+                _scores(ids, vecs, values, furthest, k), f"query_id bigint, {row_id} bigint, score double")
+            if found is None and len(chunk) < QUERIES_PER_SCAN:
+                return best(one, k, row_id=row_id)
+            one = stored(one, "found-rows")
+            found = one if found is None else found.unionByName(one)
+        if found is None:
+            return spark.createDataFrame([], f"query_id bigint, {row_id} bigint, score double, rank int")
         return best(found, k, row_id=row_id)
 
     def save(self, path: str) -> None:
@@ -233,26 +244,63 @@ def _asked(planes, mean, probes):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             vecs = unit_rows(matrix(batch.column(1)))
-            for at, values in enumerate((vecs - mean) @ planes):
-                order = probe_order(values, probes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(order), ids[at])), _lists(np.tile(vecs[at], (len(order), 1))),
-                     pa.array(np.array(order, dtype=np.int64))], names=["query_id", "vec", "bucket"])
+            furthest = [furthest_probe(values, probes) for values in (vecs - mean) @ planes]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), _lists(vecs), pa.array(furthest, pa.float64())], names=["query_id", "vec", "furthest"])
 
     return run
 
 
-def _scores(k, width):
+def furthest_probe(values: np.ndarray, probes: int) -> float:
+    """The cost of the last of the first ``probes`` buckets of a query."""
+    if probes >= 1 << len(values):
+        return float("inf")
+    if len(values) > LISTED_PLANES:
+        other = probe_order(values, probes)[-1] ^ int(_sides(values[None, :])[0])
+        bits = other >> np.arange(len(values) - 1, -1, -1) & 1
+        return float((values * values) @ bits)
+    costs = np.zeros(1)
+    for c in values * values:
+        costs = np.concatenate([costs, costs + c])
+    return float(np.partition(costs, probes - 1)[probes - 1])
+
+
+def _within(values: np.ndarray, bits: np.ndarray, furthest: np.ndarray) -> np.ndarray:
+    """Which queries visit the bucket (or folder) of these sides; one that costs as much as the last is visited too."""
+    values = values[:, :len(bits)]
+    return np.where((values > 0) != bits, values * values, 0.0).sum(axis=1) <= furthest * (1 + 1e-12) + 1e-300
+
+
+def _bits(number: int, n: int) -> np.ndarray:
+    return (number >> np.arange(n - 1, -1, -1) & 1).astype(bool)
+
+
+def _folders(values: np.ndarray, furthest: np.ndarray) -> list[int]:
+    """Folders that hold a bucket which some query visits."""
+    n = min(values.shape[1], FOLDER_PLANES)
+    return [f for f in range(1 << n) if _within(values, _bits(f, n), furthest).any()]
+
+
+def _scores(query_ids, queries, values, furthest, k):
+    """The k best rows of each query among the segments that a task has, of the buckets which the query visits."""
+    n_planes, width = values.shape[1], queries.shape[1]
+
     def run(batches):
+        kept = [Kept(len(query_ids[at:at + BLOCK_QUERIES]), k) for at in range(0, len(query_ids), BLOCK_QUERIES)]
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, vecs, asked, asked_vecs = (
-                    batch.column(i)[row].values.to_numpy(zero_copy_only=False) for i in range(4))
-                kept = Kept(len(asked), k)
-                scores = vecs.reshape(-1, width) @ asked_vecs.reshape(-1, width).T
-                kept.add(0, ids.astype(np.int64), np.round(scores, 9))
-                yield kept.batch(asked)
+                ids, vecs = (batch.column(i)[row].values.to_numpy(zero_copy_only=False) for i in (1, 2))
+                ids, vecs = ids.astype(np.int64), vecs.reshape(-1, width)
+                visits = _within(values, _bits(batch.column(0)[row].as_py(), n_planes), furthest)
+                for i, best_rows in enumerate(kept):
+                    block = queries[i * BLOCK_QUERIES:(i + 1) * BLOCK_QUERIES]
+                    at = np.flatnonzero(visits[i * BLOCK_QUERIES:(i + 1) * BLOCK_QUERIES])
+                    if len(at):
+                        scores = np.full((len(ids), len(block)), -np.inf)
+                        scores[:, at] = np.round(vecs @ block[at].T, 9)
+                        best_rows.add(0, ids, scores)
+        for i, best_rows in enumerate(kept):
+            yield best_rows.batch(query_ids[i * BLOCK_QUERIES:(i + 1) * BLOCK_QUERIES])
 
     return run
