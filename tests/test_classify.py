@@ -124,3 +124,19 @@ def test_uncertainty_gate(spark):
     assert got[2]["status"] == "Moderate Confidence"
     assert got[3]["is_uncertain"] and got[3]["status"].startswith("Uncertain")
     assert got[4]["prediction"] == "x" and got[4]["runner_up"] == "y"
+
+
+def test_a_fit_reads_each_text_at_most_twice(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            if "text" in b.schema.names:
+                read.add(b.num_rows)
+            yield b
+
+    rows = [(f"card bill number word{i % 7} fee", "a") if i % 2 else (f"loan house rate word{i % 5} bank", "b") for i in range(60)]
+    df = spark.createDataFrame(rows, "text string, category string")
+    model = classify.TextClassifier.fit(df.mapInArrow(count, df.schema), max_iter=5)
+    # Once for the labels, once for the words.
+    assert read.value <= 120 and {"card bill", "loan house"} <= set(model.features.terms)

@@ -58,6 +58,20 @@ def test_pairs_of_rare_words_are_not_counted(spark):
     assert {r["term"] for r in out if " " in r["term"]} == {"a b"}
 
 
+def test_words_of_a_string_count_as_those_of_a_list(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "WORDS_AT_ONCE", 100)
+    rows = [(t, [f"x{w}" for w in ws] if ws else ws) for t, ws in corpus()]
+    lists = spark.createDataFrame(rows, SCHEMA)
+    strings = spark.createDataFrame(
+        [(t, ws if ws is None else " y " + " z  ".join(ws) + " é") for t, ws in rows], "topic int, words string")
+    for least in (1000, 3):
+        want, got = (sorted(map(tuple, ngrams.frequent_terms(df, "words", 40, label="topic", frequent_words=least).collect()))
+                     for df in (lists, strings))
+        assert got == want
+    assert [r[0] for r in strings.select(ngrams.without(("xw000",))("words")).collect()] == [
+        " ".join(w for w in ws or [] if w != "xw000") for _, ws in rows]
+
+
 def test_the_split_makes_its_rows_twice_only(spark, monkeypatch):
     seen = spark.sparkContext.accumulator(0)
 

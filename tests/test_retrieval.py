@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import ranking, retrieval, sizing, tfidf, vectors
 
@@ -180,3 +181,26 @@ def test_nearest_centroid_in_several_scans(spark, monkeypatch):
     assert one[-1][:2] == (99, -1)
     monkeypatch.setattr(ranking.in_chunks, "__defaults__", (3,))
     assert sorted(map(tuple, vectors.nearest_centroid(df, c, "doc_id").collect())) == one
+
+
+def test_weights_of_odd_texts_equal_brute_force(spark):
+    texts = ["", " a b c ", "a " * 20_000 + "long run a end", "Élan vital, élan b vital; 東京 x 東京", "end_of 12 7 long run",
+             "run\trun--run é run", "the élan of the run"]
+    w = tfidf.Weighting(max_features=30, min_df=1, max_df=1.0, stop_words=("the", "of"))
+    df = spark.createDataFrame([*enumerate(texts), (len(texts), None)], "doc_id bigint, cleaned string")
+    plain = [" ".join(x for x in re.findall(r"\w{2,}", t.lower()) if x not in w.stop_words) for t in [*texts, ""]]
+    _, want = brute_vectors(plain, w)
+    worded = tfidf.stored_words(df, "cleaned", w, "doc_id")
+    for model, rows in [(tfidf.TfidfModel.fit(worded, "cleaned", w, words="words"), "words"), (tfidf.TfidfModel.fit(df, "cleaned", w), None)]:
+        out = model.transform(worded if rows else df, "cleaned", words=rows).filter(F.size("idx") >= 0)
+        got = {r["doc_id"]: dict(zip((model.terms[i] for i in r["idx"]), r["weights"])) for r in out.collect()}
+        assert len(got) == len(want)
+        for i, v in enumerate(want):
+            assert got[i].keys() == v.keys() and all(abs(got[i][t] - v[t]) < 1e-12 for t in v)
+
+
+def test_an_index_is_made_from_words_found_once(spark, corpus, monkeypatch):
+    asked = []
+    monkeypatch.setattr(tfidf, "terms_text", lambda c, real=tfidf.terms_text: asked.append(c) or real(c))
+    retrieval.TfidfIndex.build(corpus, weighting=tfidf.Weighting(max_features=40))
+    assert len(asked) == 1
