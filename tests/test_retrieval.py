@@ -204,3 +204,19 @@ def test_an_index_is_made_from_words_found_once(spark, corpus, monkeypatch):
     monkeypatch.setattr(tfidf, "terms_text", lambda c, real=tfidf.terms_text: asked.append(c) or real(c))
     retrieval.TfidfIndex.build(corpus, weighting=tfidf.Weighting(max_features=40))
     assert len(asked) == 1
+
+
+def test_few_queries_pass_over_segments_without_storing_them(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "SEGMENT_ROWS", 7)
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"word{min(40, int(x))}" for x in rng.zipf(1.3, 12)) for _ in range(150)] + ["word1 word2"] * 12
+    corpus = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, narrative string").repartition(3)
+    asked = spark.createDataFrame([*((i, t) for i, t in enumerate(texts[::9])), (900, "unknown"), (901, ""), (902, None)],
+                                  "query_id bigint, query string")
+    few = retrieval.TfidfIndex.build(corpus, weighting=tfidf.Weighting(max_features=60))
+    answers = []
+    for at_once in (1024, 3):
+        monkeypatch.setattr(retrieval, "QUERIES_A_VISIT", at_once)
+        answers.append([sorted(map(tuple, few.query(asked, 4, fill=fill).collect())) for fill in (True, False)])
+        assert (few._segments is None) == (at_once > len(texts))
+    assert answers[0] == answers[1] and len(answers[0][0]) == 4 * asked.count()
