@@ -72,6 +72,15 @@ def test_words_of_a_string_count_as_those_of_a_list(spark, monkeypatch):
         " ".join(w for w in ws or [] if w != "xw000") for _, ws in rows]
 
 
+def test_weights_take_the_logarithms_of_spark(spark):
+    df = spark.createDataFrame([("aa aa aa bb",)], "words string")
+    got = df.select(ngrams.term_weights(["aa", "bb"], [1.5, 1.25], True, ngrams.count_logs(spark))("words")).first()[0]
+    ln3 = spark.range(1).select(F.ln(F.lit(3.0))).first()[0]
+    w = [(1.0 + ln3) * (3 * 1.5) / 3, 1.25]
+    norm = (w[0] * w[0] + w[1] * w[1]) ** 0.5
+    assert got["idx"] == [0, 1] and got["weights"] == [w[0] / norm, w[1] / norm]
+
+
 def test_the_split_makes_its_rows_twice_only(spark, monkeypatch):
     seen = spark.sparkContext.accumulator(0)
 
