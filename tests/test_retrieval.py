@@ -220,3 +220,32 @@ def test_few_queries_pass_over_segments_without_storing_them(spark, monkeypatch)
         answers.append([sorted(map(tuple, few.query(asked, 4, fill=fill).collect())) for fill in (True, False)])
         assert (few._segments is None) == (at_once > len(texts))
     assert answers[0] == answers[1] and len(answers[0][0]) == 4 * asked.count()
+
+
+def test_many_queries_meet_blocks_of_segments(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"word{min(70, int(x))}" for x in rng.zipf(1.3, int(rng.integers(1, 30)))) for _ in range(170)]
+    texts += ["word1 word2 word3"] * 20 + texts[:15] + ["", "unknown", " ".join(f"word{i % 60}" for i in range(400))]
+    corpus = spark.createDataFrame([(7 * i % 211, t) for i, t in enumerate(texts)], "doc_id bigint, narrative string").repartition(3)
+    asked = spark.createDataFrame([*((i, t) for i, t in enumerate(texts)), (900, None), (None, "word1 word2")], "query_id bigint, query string")
+    index = retrieval.TfidfIndex.build(corpus, weighting=tfidf.Weighting(max_features=120))
+    rows = {r["doc_id"]: dict(zip(r["idx"], r["weights"])) for r in index.vectors.collect()}
+    want = set()
+    for q, t in enumerate(texts):
+        of = rows[7 * q % 211]
+        found = sorted((-round(sum(w * v.get(i, 0.0) for i, w in of.items()), 9), d) for d, v in rows.items())
+        want |= {(q, d, -s, r) for r, (s, d) in enumerate(found[:4], 1) if s < 0}
+    # Before, each query met segments by their bounds, nearly all of them one by one.
+    for name in ("_bounds", "_visited"):
+        monkeypatch.setattr(retrieval.TfidfIndex, name, lambda *_: pytest.fail("one visit after the other"))
+    monkeypatch.setattr(retrieval, "QUERIES_A_VISIT", 100)
+    for sizes in ({}, {"SEGMENT_ROWS": 11, "BLOCK_ROWS": 40, "BLOCK_VALUES": 300, "ASKED_ROWS": 50, "ASKED_VALUES": 90, "LEAST_ASKED": 2,
+                       "DENSE_TERMS": 3, "DENSE_QUERIES": 5}):
+        for name, size in sizes.items():
+            monkeypatch.setattr(retrieval, name, size)
+        index = retrieval.TfidfIndex(index.model, index.vectors)
+        got = index.query(asked, 4, fill=False).collect()
+        assert {(r["query_id"], r["doc_id"], r["rank"]) for r in got} == {(q, d, r) for q, d, _, r in want} and len(got) == len(want)
+        assert {(r["query_id"], r["rank"]): r["score"] for r in got} == pytest.approx({(q, r): s for q, _, s, r in want}, abs=2e-9)
+        filled = index.query(asked, 4)
+        assert filled.count() == 4 * asked.count()
