@@ -249,3 +249,19 @@ def test_many_queries_meet_blocks_of_segments(spark, monkeypatch):
         assert {(r["query_id"], r["rank"]): r["score"] for r in got} == pytest.approx({(q, r): s for q, _, s, r in want}, abs=2e-9)
         filled = index.query(asked, 4)
         assert filled.count() == 4 * asked.count()
+
+
+def test_rows_of_one_id_take_one_place_among_many_queries(spark, monkeypatch):
+    texts = ["card bill late", "card bill", "card fee late", "loan card", "bill fee loan", "fee late bill card"] * 3
+    corpus = spark.createDataFrame([(i % 7 if i < 14 else 3, t) for i, t in enumerate(texts)], "doc_id bigint, narrative string").coalesce(1)
+    index = retrieval.TfidfIndex.build(corpus, weighting=tfidf.Weighting(min_df=1, max_df=1.0))
+    asked = spark.createDataFrame([*enumerate(texts[:6])], "query_id bigint, query string")
+    rows = [(r["doc_id"], dict(zip(r["idx"], r["weights"]))) for r in index.vectors.collect()]
+    own = {r["narrative"]: v for r, (_, v) in zip(corpus.collect(), rows)}
+    monkeypatch.setattr(retrieval, "QUERIES_A_VISIT", 2)
+    got = {(r["query_id"], r["rank"]): r["doc_id"] for r in index.query(asked, 4).collect()}
+    for q, t in enumerate(texts[:6]):
+        best = {}
+        for d, v in rows:
+            best[d] = max(best.get(d, 0.0), round(sum(w * v.get(i, 0.0) for i, w in own[t].items()), 9))
+        assert [got[q, r] for r in range(1, 5)] == sorted(best, key=lambda d: (-best[d], d))[:4]
