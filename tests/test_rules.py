@@ -5,7 +5,7 @@ from tidemark.functions.domain import with_domain_gate
 from tidemark.functions.routing import with_routing
 from tidemark.functions.severity import with_severity
 from tidemark.functions.sub_issue import with_sub_issue
-from tidemark.functions.text import with_clean_text
+from tidemark.functions.text import collapse_whitespace, is_blank, with_clean_text
 from tidemark.policy import routing as policy
 
 IN_DOMAIN = [
@@ -136,3 +136,10 @@ def test_filters_on_results_do_not_recompute_the_text(spark):
     plan = with_severity(with_clean_text(df)).filter(F.col("severity_level") == "Low")
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("regexp_replace(cleaned") < 20 and text.count("Generate inline") == 2
+
+
+def test_blank_texts(spark):
+    texts = ["", " ", "\t\n\u00a0\u2003", " x ", "\u200b", "\x00", "\x1c\x1f", None, "a" * 50]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    same = df.select(is_blank("t").alias("new"), (collapse_whitespace("t") == "").alias("old")).collect()
+    assert [r["new"] for r in same] == [r["old"] for r in same] and [r["new"] for r in same][:4] == [True, True, True, False]

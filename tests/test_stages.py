@@ -82,3 +82,19 @@ def test_on_a_stream(spark, fitted, arriving):
 
 def test_empty_table(fitted, arriving):
     assert judged(fitted, arriving.filter(F.lit(False))) == []
+
+
+def test_a_fit_runs_the_stages_before_the_classifier_once(spark, labelled):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            if "narrative" in b.schema.names:
+                read.add(b.num_rows)
+            yield b
+
+    other = labelled.limit(5).withColumn("split", F.lit("test"))
+    rows = labelled.unionByName(other).localCheckpoint()
+    stages.triage_pipeline().fit(rows.mapInArrow(count, rows.schema))
+    # Before, the gate and both cleanings ran for the labels, the words and the calibration.
+    assert read.value <= rows.count()

@@ -28,6 +28,7 @@ from tidemark.functions.sub_issue import with_sub_issue
 from tidemark.functions.text import with_clean_text
 from tidemark.operators.classify import TextClassifier
 from tidemark.plans.triage import reject_out_of_domain
+from tidemark.session import stored
 
 
 class _Rule(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -101,10 +102,13 @@ class ComplaintClassifier(Estimator, _ClassifierParams, DefaultParamsReadable, D
 
     def _fit(self, df: DataFrame) -> "ComplaintClassifierModel":
         text, label, split = (self.getOrDefault(p) for p in ("inputCol", "labelCol", "splitCol"))
-        train = df.filter(F.col(split) == "train") if split else df
+        rows = df.filter(F.col(split).isin("train", "validation")) if split else df
+        # The fit passes over its rows several times; the stages before it should not run again each time.
+        rows = stored(rows.select(*dict.fromkeys(c for c in (text, label, split) if c)), "classifier-rows")
+        train = rows.filter(F.col(split) == "train") if split else rows
         fitted = TextClassifier.fit(train, text, label, self.getOrDefault("kind"))
         if split:
-            fitted.calibrate(df.filter(F.col(split) == "validation"), text, label)
+            fitted.calibrate(rows.filter(F.col(split) == "validation"), text, label)
         return self._copyValues(ComplaintClassifierModel(fitted))
 
 
